@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, simhash
+from . import language, mixing, simhash, tokens
 from .common import table
 
 
@@ -14,9 +14,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs, ~language.held_out(F.col("doc_id"))))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op9_simhash_near_dedup)}
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents")).drop("shards")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_token_output, op9_simhash_near_dedup, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}
