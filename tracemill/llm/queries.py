@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, simhash, tokens
+from . import decontaminate, language, mixing, simhash, tokens
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).drop("shards")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_token_output, op9_simhash_near_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_token_output, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import shared_folder
+
 MAGIC = b"EFTOK001"
 HEADER = struct.Struct("<8s8Q")
 SAMPLE = 256
@@ -211,11 +213,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 1, image_ids: int = IMAGE_IDS) -> DataFrame:
     """Write `docs` to a new folder below the session's checkpoint folder and read it back."""
     spark = docs.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="tokens-")
-    path = f"{folder.rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, vocabulary, end_id, image_ids)
     return read_tokens(spark, path)
