@@ -5,6 +5,9 @@ from tracemill.llm import decontaminate as D
 ITEM = "If Alice buys 12 apples and Bob buys 7 apples at 3 $ each, how many dollars does Alice pay more than Bob in total today?"
 
 
+SHORT = "the old red house worth ? "
+
+
 def test_canonical():
     assert D.canonical("12.5kg,", False, False) == [("\x00number", "12.5"), ("\x00unit", "kg")]
     assert D.canonical("Bob", False, False) == [("\x00name", "bob")] and D.canonical("Bob", True, False) == [("bob", "")]
@@ -40,11 +43,12 @@ def test_planted_items(spark):
         (9, ITEM),
         (9, filler(40)),
         (10, " ".join(broken.split())),
+        (11, "we saw What is " + SHORT + filler(9)),
     ]
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, row int, item_id string")
-    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, "One two."), (3, None), (4, " ... "), (5, filler(30))], "item_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, "One two."), (3, None), (4, " ... "), (5, filler(30)), (6, "What is " + SHORT)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in D.contaminated(docs, bench).collect()}
-    assert set(got) == {(1, 1), (2, 1), (5, 2), (None, 1), (9, 1)}
+    assert set(got) == {(1, 1), (2, 1), (5, 2), (None, 1), (9, 1), (11, 6)}
     assert got[1, 1].kind == "exact" and got[1, 1].containment == 1 and got[2, 1].kind == "reparameterised"
     kept = D.decontaminated(docs, bench)
     assert kept.columns == docs.columns

@@ -81,10 +81,11 @@ class Templates:
         self.words = _Words()
         self.powers = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(window)], np.uint64)
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        """One hash for each window; a text of fewer pieces is one window, one without pieces has none."""
+    def hashes(self, text: str | None, starts: bool = True) -> np.ndarray:
+        """One hash for each window; a text of fewer pieces is one window, one without pieces has none. `starts`: whether
+        the text begins a sentence."""
         flat: list[int] = []
-        starts, after = True, False
+        after = False
         words = self.words
         for line in (text or "").split("\n"):
             for word in line.split():
@@ -103,10 +104,10 @@ class Templates:
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32)) ^ np.uint64(k)
 
-    def slots(self, text: str) -> list[str]:
+    def slots(self, text: str, starts: bool = True) -> list[str]:
         """The value of each piece, empty for literal words."""
         values: list[str] = []
-        starts, after = True, False
+        after = False
         for line in text.split("\n"):
             for word in line.split():
                 found = canonical(word, starts, after)
@@ -124,27 +125,29 @@ def _filter_of(hashes: list[int]) -> np.ndarray:
 
 
 def _windows(window: int, bits: np.ndarray | None, id_name: str):
-    """Rows (id, row, hash, position, n_windows, slots) of the windows that pass the filter."""
+    """Rows (id, row, hash, position, n_windows, slots) of the windows that pass the filter. Without a filter (for the
+    benchmark), also the windows that result if the text is quoted within a sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(window)
         for b in batches:
             ids, keys, hashes, positions, totals, slots = [], [], [], [], [], []
             for doc, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                h = templates.hashes(text)
-                at = np.arange(len(h))
-                if bits is not None:
-                    top = h >> np.uint64(64 - FILTER_BITS)
-                    at = np.flatnonzero(bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
-                if not len(at):
-                    continue
-                values = templates.slots(text)
-                ids += [doc] * len(at)
-                keys += [key] * len(at)
-                hashes.append(h[at].view(np.int64))
-                positions += at.tolist()
-                totals += [len(h)] * len(at)
-                slots += [values[i : i + window] for i in at.tolist()]
+                for starts in (True, False) if bits is None else (True,):
+                    h = templates.hashes(text, starts)
+                    at = np.arange(len(h))
+                    if bits is not None:
+                        top = h >> np.uint64(64 - FILTER_BITS)
+                        at = np.flatnonzero(bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
+                    if not len(at):
+                        continue
+                    values = templates.slots(text, starts)
+                    ids += [doc] * len(at)
+                    keys += [key] * len(at)
+                    hashes.append(h[at].view(np.int64))
+                    positions += at.tolist()
+                    totals += [len(h)] * len(at)
+                    slots += [values[i : i + window] for i in at.tolist()]
                 if len(ids) > 20_000:
                     yield _batch(ids, keys, hashes, positions, totals, slots, id_name, b.schema.field(0).type)
                     ids, keys, hashes, positions, totals, slots = [], [], [], [], [], []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, simhash, tokens
+from . import decontaminate, language, mixing, simhash, tokens, urls
 from .common import table
 
 
@@ -14,6 +14,28 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs, ~language.held_out(F.col("doc_id"))))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.HOST_RULES + urls.PATTERN_RULES))
+
+
+def _op4_sql() -> str:
+    """All rules against every url; the longest host rule, else any pattern rule."""
+    cases, names = [], []
+    for r in sorted(urls.HOST_RULES, key=lambda r: -r.rank):
+        host, path = r.name[: r.name.index("/")], r.name[r.name.index("/") :]
+        fits = f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+        cases.append(f"WHEN {fits} THEN '{r.verdict}'")
+        names.append(f"WHEN {fits} THEN '{r.name}'")
+    patterns = " OR ".join(f"regexp_matches(subject, '{r.pattern}', 's')" for r in urls.PATTERN_RULES)
+    return f"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+lowered AS (SELECT *, lower(host || chr(10) || path) AS subject FROM parts)
+SELECT page_id, host, path, CASE {" ".join(names)} ELSE NULL END AS rule,
+  CASE {" ".join(cases)} WHEN {patterns} THEN 'block' ELSE 'allow' END AS verdict FROM lowered"""
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,5 +54,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).drop("shards")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_token_output, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_source_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_url_filters, op5_token_output, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_source_mixing)}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": _op4_sql()}
