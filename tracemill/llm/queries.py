@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, simhash, tokens, urls
+from . import chat, decontaminate, language, mixing, simhash, tokens, topk, urls
 from .common import table
 
 
@@ -14,6 +14,42 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(docs, ~language.held_out(F.col("doc_id"))))
 
 
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    probe = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{_PROBE}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return chat.format_digest(chat.from_turns(turns.select("conv_id", "turn", "role", "text").union(probe)))
+
+
+def _op2_sql() -> str:
+    rest = "|".join("".join("\\" + c if not c.isalnum() and c != "_" else c for c in s[1:]) for s in chat.CONTROLS)
+    pattern, rewrite = rf"([<\[])(\\*)({rest})", r"\1\\\2\3"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{_PROBE}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.OPEN + chat.MIDDLE + chat.CLOSE)} + length(role) + length(regexp_replace(text, '{pattern}', '{rewrite}', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+_OP3_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.HOST_RULES + urls.PATTERN_RULES))
 
@@ -54,5 +90,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).drop("shards")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_url_filters, op5_token_output, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_source_mixing)}
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": _op4_sql()}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_exact_topk, op4_url_filters, op5_token_output, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_source_mixing)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_url_filters": _op4_sql()}
