@@ -37,5 +37,18 @@ def test_files_hold_whole_texts_in_order(spark, image_ids):
     assert [r.start for r in got] == np.concatenate(([0], np.cumsum([r.n_tokens for r in got])[:-1])).tolist()
 
 
+def test_encoder_equals_whole_texts():
+    rng = random.Random(4)
+    bits = ["don't", "'S", "l'été", "..", "x.y", "42", "½", "²", "ª", "µ", "\xa0", "\xad", "\x85", "İ", "ﬁ", "e\u0301", "\u0301", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "ΣΑΣ", "日本", "🙂", "A", "b", "Ÿ", "ß", "\t", " ", " ", "\n", "\x1c", "!!", "_"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    plain = Tokenizer.from_file(PATH)
+    expected = [np.array(e.ids, "<u2").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    encoder = T.Encoder(PATH)
+    assert encoder.by_piece
+    assert [x for i in range(0, len(texts), 100) for x in encoder(texts[i : i + 100])] == expected
+    encoder.by_piece = False
+    assert encoder(texts) == expected
+
+
 def test_empty_table(spark):
     assert T.tokenized(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []

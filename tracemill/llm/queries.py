@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, simhash, tokens, topk, urls
+from . import chat, decontaminate, language, mixing, quality, simhash, tokens, topk, urls
 from .common import table
 
 
@@ -82,6 +82,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(quality.graded_labels(docs, table(spark, sf_dir, "labels")), n_grades=3)
+    return quality.grade(docs, model, n_grades=3)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -90,5 +96,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).drop("shards")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_exact_topk, op4_url_filters, op5_token_output, op7_benchmark_decontamination, op9_simhash_near_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_exact_topk, op4_url_filters, op5_token_output, op7_benchmark_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_source_mixing)}
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_url_filters": _op4_sql()}

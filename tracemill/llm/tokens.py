@@ -13,14 +13,18 @@ bit its position, as unsigned 64-bit numbers; doc_id as signed 64-bit numbers.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +36,20 @@ HEADER = struct.Struct("<8s8Q")
 SAMPLE = 256
 #: An image is closed when it holds as many ids.
 IMAGE_IDS = 1 << 21
-#: Distinct words whose ids a worker remembers before it starts anew.
-WORDS_KEPT = 300_000
+#: Distinct words, and distinct pieces of words, whose ids a worker remembers before it starts anew.
+WORDS_KEPT = 500_000
+PIECES_KEPT = 800_000
+
+# The normaliser and pre-tokeniser, as in tokenizer files, of the kind that is encoded by piece.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECE}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class EliasFano:
@@ -107,36 +123,75 @@ def unpack(image: bytes) -> tuple[np.ndarray, EliasFano, list[int | None]]:
 
 
 class Encoder:
-    """Encodes whole texts word by word and remembers words.
-
-    The ids of a text are those of its white-space separated pieces, one after the other, for tokenizers that neither
-    normalise nor match across white space and that drop it (tests hold it against whole texts).
-    """
+    """Encodes whole texts. For tokenizers of the kind below, which treat each piece of a word by itself, words and their
+    pieces are remembered and only new pieces run the merges; any other tokenizer encodes text by text. The ids are those
+    of the whole text either way."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        with open(vocabulary, encoding="utf-8") as f:
+            said = json.load(f)
+        self.tokenizer = Tokenizer.from_str(json.dumps(said))
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        special = [t["content"] for t in said["added_tokens"]]
+        self.by_piece = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and all(x.startswith("<|") and " " not in x for x in special)
+        bare = said | {"normalizer": None, "pre_tokenizer": PRE_TOKENIZER["pretokenizers"][1], "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare)) if self.by_piece else None
+        self.pieces = regex.compile(PIECE)
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for p in pieces for w in p} - self.known.keys()
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known, new = {}, {w for p in pieces for w in p}
-        kind, words = f"<u{self.width}", list(new)
-        for i in range(0, len(words), 4096):
-            for w, e in zip(words[i : i + 4096], self.tokenizer.encode_batch(words[i : i + 4096], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, kind).tobytes()
+        if not self.by_piece:
+            return self._encoded(self.tokenizer, texts)
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set(chain.from_iterable(split)) - self.words.keys()
+        if len(self.words) + len(new) > WORDS_KEPT:
+            self.words.clear()
+            new = set(chain.from_iterable(split))
+        self._learn(new)
+        get = self.words.__getitem__
+        return [b"".join(map(get, p)) for p in split]
+
+    def _encoded(self, tokenizer, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.width == 2 else "I"
+        out = []
+        for i in range(0, len(texts), 4096):
+            out += [array(kind, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        # the pieces of plain Latin words are found here just as by the tokenizer; odd words are left to it
+        plain = [w for w in words if (w.isascii() or max(w) < "\u0100") and w.isprintable() and "<|" not in w]
+        odd = list(words.difference(plain))
+        find = self.pieces.findall
+        found = [find(w.lower()) for w in plain]
+        new = set(chain.from_iterable(found)) - self.known.keys()
+        if len(self.known) + len(new) > PIECES_KEPT:
+            self.known.clear()
+            new = set(chain.from_iterable(found))
+        order = list(new)
+        self.known.update(zip(order, self._encoded(self.bare, order), strict=True))
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        self.words.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(plain, found, strict=True))
+        self.words.update(zip(odd, self._encoded(self.tokenizer, odd), strict=True))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """One encoder for each worker, which remembers from one task to the next."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def _packing(vocabulary: str, end_id: int, image_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         end = end_id.to_bytes(encoder.width, "little")
         part, seq = TaskContext.get().partitionId(), 0
         ids, sizes, docs, held = [], [], [], 0
