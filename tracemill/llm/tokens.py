@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -24,7 +25,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +36,8 @@ HEADER = struct.Struct("<8s8Q")
 SAMPLE = 256
 #: An image is closed when it holds as many ids.
 IMAGE_IDS = 1 << 21
-#: Distinct words, and distinct pieces of words, whose ids a worker remembers before it starts anew.
-WORDS_KEPT = 500_000
-PIECES_KEPT = 800_000
+#: Distinct pieces of words whose ids a worker remembers before it starts anew.
+PIECES_KEPT = 1_000_000
 
 # The normaliser and pre-tokeniser, as in tokenizer files, of the kind that is encoded by piece.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,6 +50,12 @@ PRE_TOKENIZER = {
     ],
 }
 
+# The same pieces in Latin-1 bytes, where letters and numbers are these. Controls, no-break space and soft hyphen are odd.
+_LETTER, _DIGIT = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN_PIECE = re.compile(rb"[" + _LETTER + rb"]+|'(?:s|t|re|ve|m|ll|d)|[" + _DIGIT + rb"]|[^\s" + _LETTER + _DIGIT + rb"]+").findall
+_LOWER = bytes.maketrans(bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]), bytes([*range(97, 123), *range(0xE0, 0xF7), *range(0xF8, 0xFF)]))
+_ODD = bytes([*range(9), *range(14, 32), *range(127, 161), 0xAD])
+
 
 class EliasFano:
     """A non-decreasing sequence below or at `universe` in about 2 + log2(universe / n) bits a number."""
@@ -123,9 +128,9 @@ def unpack(image: bytes) -> tuple[np.ndarray, EliasFano, list[int | None]]:
 
 
 class Encoder:
-    """Encodes whole texts. For tokenizers of the kind below, which treat each piece of a word by itself, words and their
-    pieces are remembered and only new pieces run the merges; any other tokenizer encodes text by text. The ids are those
-    of the whole text either way."""
+    """Encodes whole texts. For tokenizers of the kind below, which treat each piece of a word by itself, pieces of plain
+    Latin texts are found here and remembered, and only new pieces run the merges; other texts, and all texts of other
+    tokenizers, are encoded as they are. The ids are those of the whole text either way."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,24 +141,33 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(json.dumps(said))
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         special = [t["content"] for t in said["added_tokens"]]
-        self.by_piece = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and all(x.startswith("<|") and " " not in x for x in special)
+        self.by_piece = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == PRE_TOKENIZER and all(x.startswith("<|") for x in special)
         bare = said | {"normalizer": None, "pre_tokenizer": PRE_TOKENIZER["pretokenizers"][1], "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(bare)) if self.by_piece else None
-        self.pieces = regex.compile(PIECE)
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self._encoded(self.tokenizer, texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(split)) - self.words.keys()
-        if len(self.words) + len(new) > WORDS_KEPT:
-            self.words.clear()
-            new = set(chain.from_iterable(split))
-        self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in split]
+        found = [self._pieces(t) for t in texts] if self.by_piece else [None] * len(texts)
+        new = set(chain.from_iterable(p for p in found if p)).difference(self.known)
+        if len(self.known) + len(new) > PIECES_KEPT:
+            self.known.clear()
+            new = set(chain.from_iterable(p for p in found if p))
+        order = list(new)
+        self.known.update(zip(order, self._encoded(self.bare, [p.decode("latin-1") for p in order]), strict=True))
+        whole = iter(self._encoded(self.tokenizer, [t for t, p in zip(texts, found, strict=True) if p is None]))
+        get = self.known.__getitem__
+        return [next(whole) if p is None else b"".join(map(get, p)) for p in found]
+
+    @staticmethod
+    def _pieces(text: str) -> list[bytes] | None:
+        """The lower-cased pieces that the tokenizer finds in a text; None unless all of it is plain Latin-1."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if len(raw.translate(None, _ODD)) != len(raw) or b"<|" in raw:
+            return None
+        return _LATIN_PIECE(raw.translate(_LOWER))
 
     def _encoded(self, tokenizer, texts: list[str]) -> list[bytes]:
         kind = "H" if self.width == 2 else "I"
@@ -162,22 +176,6 @@ class Encoder:
             out += [array(kind, e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        # the pieces of plain Latin words are found here just as by the tokenizer; odd words are left to it
-        plain = [w for w in words if (w.isascii() or max(w) < "\u0100") and w.isprintable() and "<|" not in w]
-        odd = list(words.difference(plain))
-        find = self.pieces.findall
-        found = [find(w.lower()) for w in plain]
-        new = set(chain.from_iterable(found)) - self.known.keys()
-        if len(self.known) + len(new) > PIECES_KEPT:
-            self.known.clear()
-            new = set(chain.from_iterable(found))
-        order = list(new)
-        self.known.update(zip(order, self._encoded(self.bare, order), strict=True))
-        get = self.known.__getitem__
-        self.words.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in zip(plain, found, strict=True))
-        self.words.update(zip(odd, self._encoded(self.tokenizer, odd), strict=True))
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
