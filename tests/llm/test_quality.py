@@ -40,15 +40,26 @@ def test_held_out_grades_and_edges(spark):
         assert 0 <= r.p_ge_2 <= r.p_ge_1 <= 1 and abs(r.expected_grade - r.p_ge_1 - r.p_ge_2) < 1e-9
 
 
-def test_gradient_matches_differences():
+def test_fit_is_a_maximum_of_the_weighted_likelihood():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 3))
     grades = np.clip((x[:, 0] * 1.5 + rng.logistic(size=300) * 0.3 + 1.5).astype(int), 0, 2)
     rows, cols = np.nonzero(np.ones_like(x))
-    model = Q.fit_ordinal(rows, cols + 10, x.ravel().astype(np.float32), grades, 3, steps=400, l1=0.0)
-    tails = model.tails(x @ model.weights[10:13])
-    p = np.stack([1 - tails[:, 0], tails[:, 0] - tails[:, 1], tails[:, 1]], 1)
-    assert np.mean(p.argmax(1) == grades) > 0.8 and model.weights[10] > 5 * abs(model.weights[11])
+    model = Q.fit_ordinal(rows, cols + 10, x.ravel().astype(np.float32), grades, 3, steps=3000, l1=0.0)
+
+    def likelihood(w, cuts):
+        t = 1 / (1 + np.exp(-((x @ w)[:, None] - cuts[None, :])))
+        p = np.stack([1 - t[:, 0], t[:, 0] - t[:, 1], t[:, 1]], 1)[np.arange(300), grades]
+        return np.sum(np.log(p) / np.bincount(grades)[grades])
+
+    w, cuts = model.weights[10:13].astype(float), model.thresholds
+    best = likelihood(w, cuts)
+    for i in range(3):
+        for d in (-0.2, 0.2):
+            assert likelihood(w + d * np.eye(3)[i], cuts) < best
+            if i < 2:
+                assert likelihood(w, cuts + d * np.eye(2)[i]) < best
+    assert w[0] > 5 * abs(w[1])
 
 
 def test_nothing_to_learn_from(spark):

@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
 #: Rated documents that are learned from at most (expected number: they are drawn by hash).
-SAMPLE = 10_000
+SAMPLE = 8_000
 #: Sampled documents in which a word's bucket must occur to be learned.
 LEAST_DOCS = 5
-STEPS = 200
-L1 = 3e-4
+STEPS = 400
+L1 = 1e-3
 SEED = 5
 WORDS_KEPT = 300_000
 NUMERIC = ("bias", "long words", "distinct words", "repeated lines", "letters", "short text")
@@ -102,7 +102,7 @@ def fit_ordinal(rows: np.ndarray, index: np.ndarray, value: np.ndarray, grades:
         p = np.maximum(a - b, 1e-9)
         g = np.bincount(at, (-(1 - a - b) * weight)[rows] * value, len(used))
         seen += g * g
-        rate = 0.2 / np.sqrt(seen)
+        rate = 0.3 / np.sqrt(seen)
         w -= rate * g
         w = np.where(free, w, np.sign(w) * np.maximum(0, np.abs(w) - rate * l1))
         g_cut = np.zeros(len(cuts) + 2)
