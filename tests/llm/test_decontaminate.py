@@ -16,11 +16,22 @@ def test_canonical():
     assert D.canonical("***", True, False) == []
 
 
-def test_slots_align_with_hashes():
+def test_windows_match_plain_loop():
     t = D.Templates()
-    for text in ("", "one", ITEM, "A b.\nC d 5 kg\n\n7 km e f g", "## x 3 4 5"):
-        n = len(t.slots(text))
-        assert len(t.hashes(text)) == (max(1, n - 4) if n else 0)
+    for text in ("", "one", ITEM, "A b.\nC d 5 kg\n\n7 km e f g", "## x 3 4 5", "5 in. In 5. In x", "a.b.c 12.5kg x-y Bob. Bob Bob!", "THE Car, Bus; a A. A ÉCOLE École, x., M 5 M m 5 m. M"):
+        words, context, h = t.read([text])[0]
+        plain, starts, after = [], True, False
+        for line in text.split("\n"):
+            starts, after = True, False
+            for w in line.split():
+                found = D.canonical(w, starts, after and not starts)
+                plain += found
+                starts = bool(D._END.search(w))
+                after = bool(found) and found[-1][0] == "\x00number"
+        assert h.tolist() == [D.xxhash.xxh64_intdigest(x) for x, _ in plain], text
+        n = max(1, len(plain) - 4) if plain else 0
+        assert len(t.windows(h)) == n
+        assert t.slots(words, context, list(range(n))) == [[v for _, v in plain[i : i + 5]] for i in range(n)]
 
 
 def test_planted_items(spark):

@@ -23,7 +23,7 @@ WINDOW = 5
 SHARE = 0.8
 #: Bits of the filter of benchmark windows that goes to every task: 2**FILTER_BITS bits, whatever the benchmark's size.
 FILTER_BITS = 23
-WORDS_KEPT = 400_000
+WORDS_KEPT = 500_000
 
 # Units of measure and currency signs, as they are written after or before numbers.
 UNITS = frozenset("""
@@ -59,43 +59,123 @@ def canonical(word: str, starts: bool, after_number: bool) -> list[tuple[str, st
     return out
 
 
-class _Words(dict):
-    """Word and context -> (template hashes, whether the next word starts a sentence, whether it ends in a number)."""
-
-    def __missing__(self, key: tuple[str, bool, bool]):
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        word, starts, after = key
-        found = canonical(word, starts, after)
-        hashes = [xxhash.xxh64_intdigest(t) for t, _ in found]
-        value = (hashes, bool(_END.search(word)) or (starts and not found), found[-1][0] == _NUMBER if found else after)
-        self[key] = value
-        return value
+MID, START, AFTER_NUMBER = 0, 1, 2
+_NAME_HASH = xxhash.xxh64_intdigest(_NAME)
+_LINE = "\x00"
+
+
+class Words(dict):
+    """Word -> number. For each number: the hash of its first piece in each context (the only one that a context changes),
+    its other pieces' hashes, and what it does to the next word's context. Kept from one task to the next."""
+
+    def __init__(self):
+        super().__init__()
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.firsts = np.zeros((0, 3), np.uint64)
+        self.flags = np.zeros((0, 3), np.int64)  # pieces, ends a sentence, ends in a number
+        self.offsets = np.zeros(0, np.int64)
+        self.others = np.zeros(0, np.uint64)
+        self.n_others = 0
+        self.new: list[tuple] = []
+        self.new_others: list[int] = []
+        self[_LINE] = 0
+        self.new.append((0, 0, 0, 0, 1, 0, 0))
+
+    def __missing__(self, word: str) -> int:
+        number = len(self)
+        core = word.rstrip(".,;:!?")
+        if core.isalpha() and (lower := core.lower()) not in UNITS:
+            # most words: one piece of letters, as `canonical` would find it
+            own = xxhash.xxh64_intdigest(lower)
+            mid = _NAME_HASH if core[0].isupper() and not (len(core) > 1 and core.isupper()) else own
+            self.new.append((mid, own, mid, 1, len(core) < len(word) and word[-1] != ",", 0, 0))
+            self[word] = number
+            return number
+        found = canonical(word, False, False)
+        if found:
+            mid = xxhash.xxh64_intdigest(found[0][0])
+            variants = [mid, mid, mid]
+            if found[0][0] == _NAME or found[0][0].isalpha():
+                for context in (START, AFTER_NUMBER):
+                    kind = canonical(word, context == START, context == AFTER_NUMBER)[0][0]
+                    variants[context] = mid if kind == found[0][0] else xxhash.xxh64_intdigest(kind)
+            at = self.n_others + len(self.new_others)
+            self.new_others += [xxhash.xxh64_intdigest(t) for t, _ in found[1:]]
+            self.new.append((*variants, len(found), bool(_END.search(word)), found[-1][0] == _NUMBER, at))
+        else:
+            self.new.append((0, 0, 0, 0, bool(_END.search(word)), 0, 0))
+        self[word] = number
+        return number
+
+    def settle(self) -> None:
+        """Move what was learned into the arrays, which grow by doubling."""
+        if self.new:
+            n = len(self)
+            if n > len(self.firsts):
+                self.firsts, self.flags, self.offsets = (np.resize(x, (2 * n, *x.shape[1:])) if len(x) else np.zeros((2 * n, *x.shape[1:]), x.dtype) for x in (self.firsts, self.flags, self.offsets))
+            rows = slice(n - len(self.new), n)
+            self.firsts[rows] = np.array([r[:3] for r in self.new], np.uint64)
+            self.flags[rows] = np.array([r[3:6] for r in self.new], np.int64)
+            self.offsets[rows] = np.array([r[6] for r in self.new], np.int64)
+            self.new = []
+        if self.new_others:
+            end = self.n_others + len(self.new_others)
+            if end > len(self.others):
+                self.others = np.concatenate((self.others, np.zeros(end, np.uint64)))
+            self.others[self.n_others : end] = self.new_others
+            self.n_others, self.new_others = end, []
+
+
+_WORDS: list[Words] = []
 
 
 class Templates:
-    """Window hashes of texts. `positions` of a text count template pieces."""
+    """Window hashes of texts. Positions in a text count template pieces."""
 
     def __init__(self, window: int = WINDOW):
         self.window = window
-        self.words = _Words()
+        self.words = _WORDS[0] if _WORDS else Words()
+        _WORDS[:] = [self.words]
         self.powers = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(window)], np.uint64)
 
-    def hashes(self, text: str | None, starts: bool = True) -> np.ndarray:
-        """One hash for each window; a text of fewer pieces is one window, one without pieces has none. `starts`: whether
-        the text begins a sentence."""
-        flat: list[int] = []
-        after = False
-        words = self.words
-        for line in (text or "").split("\n"):
-            for word in line.split():
-                hashes, ends, number = words[word, starts, after]
-                flat += hashes
-                starts, after = ends, number
-            starts, after = True, False
-        if not flat:
-            return np.zeros(0, np.uint64)
-        h = np.array(flat, np.uint64)
+    def read(self, texts: list[str | None], starts: bool = True) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """For each text its words, their contexts, and the hashes of its pieces. `starts`: whether it begins a sentence."""
+        split = [(t or "").replace("\n", f" {_LINE} ").split() for t in texts]
+        if len(self.words) > WORDS_KEPT:
+            self.words.reset()
+        get = self.words.__getitem__
+        numbers = [np.fromiter(map(get, w), np.int64, len(w)) for w in split]
+        w = self.words
+        w.settle()
+        out = []
+        for words, n in zip(split, numbers, strict=True):
+            pieces, ends, number = w.flags[n].T
+            context = np.zeros(len(n), np.int64)
+            context[1:] = np.where(ends[:-1] == 1, START, np.where(number[:-1] == 1, AFTER_NUMBER, MID))
+            if len(n) and starts:
+                context[0] = START
+            first = w.firsts[n, context]
+            if len(n) and pieces.max() > 1:
+                total = np.cumsum(pieces)
+                h = np.zeros(int(total[-1]), np.uint64)
+                heads = (total - pieces)[pieces > 0]
+                h[heads] = first[pieces > 0]
+                many = np.flatnonzero(pieces > 1)
+                rest = pieces[many] - 1
+                ramp = np.arange(int(rest.sum())) - np.repeat(np.cumsum(rest) - rest, rest)
+                h[np.repeat((total - pieces)[many] + 1, rest) + ramp] = w.others[np.repeat(w.offsets[n[many]], rest) + ramp]
+            else:
+                h = first[pieces > 0]
+            out.append((words, context, h))
+        return out
+
+    def windows(self, h: np.ndarray) -> np.ndarray:
+        """One hash for each window; a text of fewer pieces is one window, one without pieces has none."""
+        if not len(h):
+            return h
         k = min(self.window, len(h))
         out = np.zeros(len(h) - k + 1, np.uint64)
         for i in range(k):
@@ -104,17 +184,25 @@ class Templates:
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32)) ^ np.uint64(k)
 
-    def slots(self, text: str, starts: bool = True) -> list[str]:
-        """The value of each piece, empty for literal words."""
-        values: list[str] = []
-        after = False
-        for line in text.split("\n"):
-            for word in line.split():
-                found = canonical(word, starts, after)
-                values += [v for _, v in found]
-                _, starts, after = self.words[word, starts, after]
-            starts, after = True, False
-        return values
+    def hashes(self, text: str | None, starts: bool = True) -> np.ndarray:
+        return self.windows(self.read([text], starts)[0][2])
+
+    def slots(self, words: list[str], context: np.ndarray, positions: list[int]) -> list[list[str]]:
+        """The values of the pieces of each window, empty for literal words."""
+        pieces = self.words.flags[[self.words[x] for x in words], 0]
+        owner = np.repeat(np.arange(len(words)), pieces)
+        firsts = np.cumsum(pieces) - pieces
+        known: dict[int, list[str]] = {}
+        out = []
+        for p in positions:
+            values = []
+            for i in range(p, min(p + self.window, len(owner))):
+                k = int(owner[i])
+                if k not in known:
+                    known[k] = [v for _, v in canonical(words[k], context[k] == START, context[k] == AFTER_NUMBER)]
+                values.append(known[k][i - firsts[k]])
+            out.append(values)
+        return out
 
 
 def _filter_of(hashes: list[int]) -> np.ndarray:
@@ -132,22 +220,23 @@ def _windows(window: int, bits: np.ndarray | None, id_name: str):
         templates = Templates(window)
         for b in batches:
             ids, keys, hashes, positions, totals, slots = [], [], [], [], [], []
-            for doc, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for start in range(0, b.num_rows, 64):  # few texts at once: they may be very long
+                docs, names, texts = (b.column(i).slice(start, 64).to_pylist() for i in range(3))
                 for starts in (True, False) if bits is None else (True,):
-                    h = templates.hashes(text, starts)
-                    at = np.arange(len(h))
-                    if bits is not None:
-                        top = h >> np.uint64(64 - FILTER_BITS)
-                        at = np.flatnonzero(bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
-                    if not len(at):
-                        continue
-                    values = templates.slots(text, starts)
-                    ids += [doc] * len(at)
-                    keys += [key] * len(at)
-                    hashes.append(h[at].view(np.int64))
-                    positions += at.tolist()
-                    totals += [len(h)] * len(at)
-                    slots += [values[i : i + window] for i in at.tolist()]
+                    for doc, key, (words, context, pieces) in zip(docs, names, templates.read(texts, starts), strict=True):
+                        h = templates.windows(pieces)
+                        at = np.arange(len(h))
+                        if bits is not None:
+                            top = h >> np.uint64(64 - FILTER_BITS)
+                            at = np.flatnonzero(bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
+                        if not len(at):
+                            continue
+                        ids += [doc] * len(at)
+                        keys += [key] * len(at)
+                        hashes.append(h[at].view(np.int64))
+                        positions += at.tolist()
+                        totals += [len(h)] * len(at)
+                        slots += templates.slots(words, context, at.tolist())
                 if len(ids) > 20_000:
                     yield _batch(ids, keys, hashes, positions, totals, slots, id_name, b.schema.field(0).type)
                     ids, keys, hashes, positions, totals, slots = [], [], [], [], [], []
