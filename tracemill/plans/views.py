@@ -1,0 +1,110 @@
+"""The model's tables as deterministic views over the star-schema test tables.
+
+Each view is one SELECT that Spark and other engines both run, but for a few functions that `DIALECTS` spells out; so
+queries and the SQL that checks them see the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+DIALECTS = {
+    "spark": {"iso": "date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")", "us": "unix_micros(to_timestamp({0}))", "text": "string", "words": "split({0}, ' ')"},
+    "duckdb": {"iso": "strftime({0}, '%Y-%m-%dT%H:%M:%S.%gZ')", "us": "epoch_us({0})", "text": "varchar", "words": "string_split({0}, ' ')"},
+}
+
+_K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
+
+VIEWS = {
+    "token_usage": (
+        "events",
+        f"""SELECT event_id AS id, concat('u', user_id, '-', substr({{iso:ts}}, 1, 10)) AS session_id, user_id % 7 AS project_id, user_id, user_id % 3 AS host_id, {{iso:ts}} AS ts_raw,
+        event_type AS model, {_K} AS input_tokens, CAST(floor(value * 10) AS BIGINT) AS output_tokens, event_id % 50 AS cache_creation_tokens, event_id % 200 AS cache_read_tokens,
+        concat('m', event_id) AS api_message_id FROM events""",
+    ),
+    "tool_calls": (
+        "events",
+        f"""SELECT event_id AS id, concat('u', user_id, '-', substr({{iso:ts}}, 1, 10)) AS session_id, user_id % 7 AS project_id, user_id, user_id % 3 AS host_id, {{iso:ts}} AS ts_raw,
+        CASE event_id % 7 WHEN 0 THEN 'bash' WHEN 1 THEN 'file' WHEN 2 THEN 'search' WHEN 3 THEN 'skill' WHEN 4 THEN 'subagent' WHEN 5 THEN 'mcp' ELSE 'builtin_host' END AS family,
+        concat(event_type, '_', user_id % 5) AS name, CASE event_id % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Edit' ELSE 'Write' END AS tool,
+        concat('/src/f', {_K} % 40, '.py') AS file_path, concat('cd /w && run', {_K}, ' x') AS command, concat('cmd', user_id % 23) AS cmd_name,
+        CASE WHEN user_id % 4 = 0 THEN NULL WHEN user_id % 4 = 1 THEN '' ELSE concat('/t/', {_K} % 30) END AS target_file,
+        concat('p', {_K} % 33) AS pattern, CASE WHEN user_id % 3 = 0 THEN NULL ELSE concat('/d', {_K} % 11) END AS path, concat('skill', user_id % 25) AS skill_name,
+        CASE WHEN user_id % 6 = 0 THEN '' ELSE concat('type', user_id % 24) END AS subagent_type, CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Task' ELSE 'Agent' END AS spawn_tool,
+        concat('srv', user_id % 6) AS server_name, CASE WHEN event_type = 'error' THEN user_id % 4 END AS exit_code,
+        CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'signup' THEN NULL ELSE 0 END AS is_error,
+        CASE WHEN event_type <> 'error' THEN '' ELSE CASE event_id % 8 WHEN 0 THEN 'Sibling tool call errored: Permission to use Bash' WHEN 1 THEN 'The user doesn''t want to proceed'
+          WHEN 2 THEN 'AbortError' WHEN 3 THEN 'InputValidationError: x' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE concat('boom ', user_id % 9) END END AS error_text
+        FROM events""",
+    ),
+    "session_sources": (
+        "token_usage",
+        "SELECT DISTINCT session_id, project_id, CASE user_id % 4 WHEN 0 THEN 'cli' WHEN 1 THEN 'desktop' WHEN 2 THEN 'web' ELSE 'agent' END AS source FROM token_usage WHERE user_id % 10 <> 0",
+    ),
+    "pricing": (
+        None,
+        """SELECT model, CAST(input_price AS DOUBLE) AS input_price, CAST(output_price AS DOUBLE) AS output_price, CAST(cache_write_price AS DOUBLE) AS cache_write_price,
+        CAST(cache_read_price AS DOUBLE) AS cache_read_price, from_date, to_date FROM (VALUES ('view', 3.0, 15.0, 3.75, 0.3, '2024-01-01', '2024-01-15'), ('view', 2.0, 10.0, 2.5, 0.2, '2024-01-15', NULL),
+        ('click', 5.0, 25.0, 6.25, 0.5, '2024-01-01', '2024-01-15'), ('click', 4.0, 20.0, 5.0, 0.4, '2024-01-15', NULL), ('purchase', 1.75, 14.0, 0.0, 0.175, '2024-01-01', NULL),
+        ('error', 1.0, 5.0, 1.25, 0.1, '2024-01-10', NULL)) AS t(model, input_price, output_price, cache_write_price, cache_read_price, from_date, to_date)""",
+    ),
+    "sessions": (
+        "token_usage",
+        """SELECT session_id, project_id, user_id, host_id, min(ts_raw) AS ts_raw, max(model) AS model, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens, count(*) AS message_count,
+        concat('title ', session_id) AS summary FROM token_usage GROUP BY session_id, project_id, user_id, host_id""",
+    ),
+    "tree": (
+        "token_usage",
+        """SELECT concat('n', user_id) AS session_id, user_id % 2 AS project_id, CASE WHEN user_id % 17 = 3 THEN 'gone' ELSE concat('n', CAST(floor(user_id / 3) AS BIGINT)) END AS parent_session_id,
+        min(ts_raw) AS ts_raw, CAST(sum(input_tokens) AS BIGINT) AS total_tokens FROM token_usage GROUP BY user_id""",
+    ),
+    "metadata": (
+        "documents",
+        """SELECT concat('d', doc_id) AS session_id, doc_id % 7 AS project_id, CASE doc_id % 5 WHEN 0 THEN 'development' WHEN 1 THEN 'meeting' WHEN 2 THEN 'marketing' WHEN 3 THEN 'support' ELSE NULL END AS classification,
+        CASE doc_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' ELSE 'restricted' END AS data_sensitivity, {words:substr(text, 1, 30)} AS topics, source AS client, text FROM documents""",
+    ),
+    "messages": (
+        "conversations",
+        """SELECT concat('c', conv_id) AS session_id, conv_id % 7 AS project_id, turn AS seq, role AS type, text AS content, 1704067200 + conv_id * 3600 + turn * (60 + conv_id % 9 * 45) AS t FROM conversations""",
+    ),
+    "activity": (
+        "events",
+        """SELECT event_id AS id, concat('u', user_id) AS session_id, substr({iso:ts}, 1, 10) AS day, CASE event_type WHEN 'view' THEN 'user' WHEN 'click' THEN 'assistant' ELSE event_type END AS type,
+        CAST({us:ts} AS BIGINT) AS us, user_id % 7 AS project_id FROM events""",
+    ),
+}
+
+
+def _rendered(sql: str, dialect: str) -> str:
+    out, i = [], 0
+    while (at := sql.find("{", i)) >= 0:
+        end = sql.index("}", at)
+        kind, arg = sql[at + 1 : end].split(":", 1)
+        out += [sql[i:at], DIALECTS[dialect][kind].format(arg)]
+        i = end + 1
+    return "".join(out) + sql[i:]
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    base, sql = VIEWS[name]
+    sql = _rendered(sql, "spark")
+    if base is None:
+        return spark.sql(sql)
+    source = view(spark, sf_dir, base) if base in VIEWS else spark.read.parquet(f"{sf_dir}/{base}.parquet")
+    return spark.sql(sql.replace(f"FROM {base}", "FROM {source}"), source=source)
+
+
+def with_views(sql: str, *names: str) -> str:
+    """`sql` for DuckDB with the named views, and those they stand on, as common table expressions."""
+    order: list[str] = []
+
+    def add(name: str) -> None:
+        base = VIEWS[name][0]
+        if base in VIEWS:
+            add(base)
+        if name not in order:
+            order.append(name)
+
+    for n in names:
+        add(n)
+    # a view may be named like the table below it
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({_rendered(VIEWS[n][1], 'duckdb')})" for n in order) + " " + sql
