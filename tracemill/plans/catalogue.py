@@ -165,9 +165,10 @@ REPORTS: tuple[Report, ...] = (
     Report("rep_eff_source", lambda t: reports.source_comparison(t("token_usage"), t("pricing"), t("session_sources")), (*USAGE, "session_sources"), _PER_SESSION + "SELECT coalesce(source, 'unknown') AS source, count(*) AS sessions, round(avg(cost), 4) AS avg_cost_per_session FROM per LEFT JOIN session_sources USING (session_id, project_id) GROUP BY 1"),
     Report("rep_task_type_costs", lambda t: reports.task_type_costs(t("token_usage").withColumn("session_id", F.concat(F.lit("d"), "user_id")), t("pricing"), t("metadata").select("session_id", "project_id", "classification")), (*USAGE, "metadata"),
            _PRICED + ", per AS (SELECT concat('d', user_id) AS session_id, project_id, round(sum(cost), 4) AS cost FROM priced GROUP BY 1, 2) SELECT coalesce(classification, 'unclassified') AS classification, count(*) AS sessions, round(avg(cost), 4) AS avg_cost, round(sum(cost), 4) AS total_cost FROM per LEFT JOIN metadata USING (session_id, project_id) GROUP BY 1"),
+    # decimal ties such as 0.0002445 round half up in Spark; in binary they may lie below the tie, so the SQL lifts them
     Report("rep_session_cost_profile", _with_prices(reports.session_profile), USAGE, _PRICED + """, seq AS (SELECT *, row_number() OVER w AS place, greatest(count(*) OVER (PARTITION BY session_id, project_id) // 3, 1) AS third,
   sum(cost) OVER (PARTITION BY session_id, project_id ORDER BY ts_raw, id ROWS UNBOUNDED PRECEDING) AS running FROM priced WINDOW w AS (PARTITION BY session_id, project_id ORDER BY ts_raw, id))
-SELECT session_id, project_id, id, round(cost, 6) AS cost, round(running, 4) AS cumulative_cost, CASE WHEN place <= third THEN 'early' WHEN place <= 2 * third THEN 'mid' ELSE 'late' END AS phase FROM seq"""),
+SELECT session_id, project_id, id, round(round(cost, 12) + 1e-13, 6) AS cost, round(round(running, 12) + 1e-13, 4) AS cumulative_cost, CASE WHEN place <= third THEN 'early' WHEN place <= 2 * third THEN 'mid' ELSE 'late' END AS phase FROM seq"""),
     Report("join_self_overlap", lambda t: pricing.overlaps(t("pricing").withColumn("to_date", F.when(F.col("model") == "view", "2024-02-01").otherwise(F.col("to_date")))), ("pricing",),
            ", p AS (SELECT model, from_date, CASE WHEN model = 'view' THEN '2024-02-01' ELSE to_date END AS to_date FROM pricing) SELECT model, count(*) AS overlaps FROM (SELECT *, lead(from_date) OVER (PARTITION BY model ORDER BY from_date) AS next FROM p) WHERE next IS NOT NULL AND (to_date IS NULL OR to_date > next) GROUP BY 1"),
     Report("prc_seed", lambda t: pricing.seed(t("pricing").filter("model <> 'click'"), t("pricing")), ("pricing",), "SELECT * FROM pricing"),
