@@ -17,9 +17,9 @@ def children(sessions: DataFrame, session_id: str) -> DataFrame:
     return sessions.filter(F.col("parent_session_id") == session_id).orderBy("ts_raw", "session_id")
 
 
-def descendants(sessions: DataFrame, masters: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(master, session_id, project_id, depth): all sessions below the masters, each counted once for a master. Sessions
-    that reach each other in a circle end where they come back; parents are looked up in all projects.
+def descendants(sessions: DataFrame, masters: DataFrame) -> DataFrame:
+    """(master, session_id, project_id, depth): all sessions below the masters at any depth, each counted once for a master.
+    Sessions that reach each other in a circle end where they come back; parents are looked up in all projects.
 
     A round joins the frontier with the children; each frontier is written to the shared checkpoint
     folder, so that lineage and recovery stay short."""
@@ -28,7 +28,9 @@ def descendants(sessions: DataFrame, masters: DataFrame, max_depth: int = 100) -
     edges = sessions.filter("parent_session_id is not null and parent_session_id <> session_id").select(F.col("parent_session_id").alias("up"), "session_id", "project_id")
     seen = masters.select(F.col("session_id").alias("master"), "session_id", F.col("project_id").cast("long").alias("project_id"), F.lit(0).alias("depth"))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         step = frontier.select("master", F.col("session_id").alias("up")).join(edges, "up").select("master", "session_id", F.col("project_id").cast("long").alias("project_id"), F.lit(depth).alias("depth")).distinct()
         frontier = checkpointed(step.join(seen, ["master", "session_id", "project_id"], "left_anti"))
         if frontier.isEmpty():
