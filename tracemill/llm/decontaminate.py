@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units and names are replaced by typed placeholders; windows of five template words of the benchmark are looked
-up in the documents' windows by a hash join. Matching windows keep the values in their slots, and an occurrence (windows
-at one offset between document and item) counts only if each of the item's slot values goes to one value throughout: so
-a question with other numbers or names is caught, and templates that merely look alike are not.
+up in the documents' windows by a hash join. Matching windows keep the values in their slots. Of an occurrence (windows at
+one offset between document and item) those count that hold the item's own values, and those whose names and units go to
+the values that they have throughout the occurrence: so a question with other numbers or names is caught, and so is a copy
+with one name edited, while templates that merely look alike are not.
 """
 
 from __future__ import annotations
@@ -270,9 +271,41 @@ def _filter_bits(items: DataFrame) -> np.ndarray:
     return merged
 
 
+def counted(found: list[tuple[int, list[str], list[str]]]) -> tuple[list[int], bool]:
+    """(positions that count, whether all of them are literal) of the windows (position, the item's values, the document's
+    values) at one offset. Windows with the item's own values always count. In the others each name or unit must go to the
+    value that it has at most of its places (ties: its own, then the smallest); numbers are slots of their own, so that
+    equal ones may change apart."""
+    places: dict[tuple[int, str], str] = {}
+    for position, ours, theirs in found:
+        for i, (a, b) in enumerate(zip(ours, theirs, strict=True)):
+            if a and not a[-1].isdigit():
+                places[position + i, a] = b
+    votes: dict[str, dict[str, int]] = {}
+    for (_, a), b in places.items():
+        of = votes.setdefault(a, {})
+        of[b] = of.get(b, 0) + 1
+    chosen = {a: min(of, key=lambda b: (-of[b], b != a, b)) for a, of in votes.items()}
+    positions, own = set(), True
+    for position, ours, theirs in found:
+        literal = ours == theirs
+        if literal or all(chosen.get(a, b) == b for a, b in zip(ours, theirs, strict=True)):
+            positions.add(position)
+            own = own and literal
+    return sorted(positions), own
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at = b.num_columns - 1
+        got = [counted([(w["item_position"], w["item_slots"], w["slots"]) for w in found]) for found in b.column(at).to_pylist()]
+        columns = [*b.columns[:at], pa.array([p for p, _ in got], pa.list_(pa.int64())), pa.array([own for _, own in got], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:at], "positions", "own"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """One row for each pair of document text and benchmark item of which at least `share` of the item's template windows
-    occur in the document with consistent slots: doc_id, row (hash of id and text), item_id, matched, item_windows,
+    occur in the document with slots that agree (see `counted`): doc_id, row (hash of id and text), item_id, matched, item_windows,
     containment, and kind: `exact` if all matched slots hold the item's own values, else `reparameterised`.
 
     Null, empty and blank texts, and items without any letter or digit, match nothing. Items of fewer than `window` pieces
@@ -287,13 +320,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     theirs = items.select("item_id", F.col("row").alias("item"), "hash", F.col("position").alias("item_position"), F.col("windows").alias("item_windows"), F.col("slots").alias("item_slots"))
     # a short text is a single window that only equals another short text's
     hits = found.join(theirs, "hash").withColumn("offset", F.col("position") - F.col("item_position"))
-    pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: (x["item_slots"] != "") | (x["slots"] != ""))
     keys = ["doc_id", "row", "item_id", "item"]
-    one = hits.groupBy(*keys, "offset").agg(F.collect_set("item_position").alias("positions"), F.max("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
-    values = F.array_distinct(F.transform("slots", lambda x: x["item_slots"]))
-    consistent = one.filter(F.size(values) == F.size("slots"))
-    own = F.forall("slots", lambda x: x["item_slots"] == x["slots"])
-    best = consistent.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("matched"), F.max("item_windows").alias("item_windows"), F.min(own.cast("int")).alias("own"))
+    window_of = F.struct("item_position", "item_slots", "slots")
+    one = hits.groupBy(*keys, "offset").agg(F.collect_set(window_of).alias("found"), F.max("item_windows").alias("item_windows"))
+    changed = F.exists("found", lambda x: x["item_slots"] != x["slots"])
+    literal = one.filter(~changed).select(*keys, "item_windows", F.transform("found", lambda x: x["item_position"]).alias("positions"), F.lit(True).alias("own"))
+    kinds = [f"{name} {dict(one.dtypes)[name]}" for name in (*keys, "item_windows")]
+    others = one.filter(changed).select(*keys, "item_windows", "found").mapInArrow(_settle, ", ".join([*kinds, "positions array<long>", "own boolean"]))
+    best = literal.unionByName(others).groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("matched"), F.max("item_windows").alias("item_windows"), F.min(F.col("own").cast("int")).alias("own"))
     needed = F.ceil(F.col("item_windows") * F.lit(share) - F.lit(1e-9))
     kind = F.when(F.col("own") == 1, "exact").otherwise("reparameterised")
     return best.filter(F.col("matched") >= needed).select("doc_id", "row", "item_id", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("containment"), kind.alias("kind"))
