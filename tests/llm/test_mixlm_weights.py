@@ -1,0 +1,15 @@
+import numpy as np
+
+from tracemill.llm import mixlm as M
+
+
+def test_starting_weights_are_learned_from_whole_texts(spark, monkeypatch):
+    """Spelt words stand only beyond the first 20,000 characters."""
+    monkeypatch.setattr(M, "HEAD", 3)
+    monkeypatch.setattr(M, "_scored", lambda docs, model, *rest: model)
+    rng = np.random.default_rng(5)
+    rare = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(500))
+    docs = spark.createDataFrame([(i, "th " * 7000 + rare) for i in range(5)], "doc_id long, text string")
+    weights = M.score(docs).weights
+    assert weights.dtype == np.float32 and np.isfinite(weights).all()
+    assert (np.abs(weights[64:] - np.float32([0.4, 0.3, 0.3, 0.3])) > 1e-3).any() and (np.abs(weights[:64] - np.float32([0.4, 0.3, 0.3, 0.3])) > 1e-3).any()
