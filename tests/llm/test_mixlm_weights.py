@@ -13,3 +13,13 @@ def test_starting_weights_are_learned_from_whole_texts(spark, monkeypatch):
     weights = M.score(docs).weights
     assert weights.dtype == np.float32 and np.isfinite(weights).all()
     assert (np.abs(weights[64:] - np.float32([0.4, 0.3, 0.3, 0.3])) > 1e-3).any() and (np.abs(weights[:64] - np.float32([0.4, 0.3, 0.3, 0.3])) > 1e-3).any()
+
+
+def test_weights_are_refined_within_texts_of_a_few_thousand_bits():
+    code = M.Code.of([(b"", 5), (b"a", 300), (b"b", 100)], 2, np.zeros(257, np.int64))
+    model = M.Model(code, 14, np.zeros(1 << 14, np.uint32), np.full((128, 4), 0.3, np.float32))
+    short, longer = model.scores([[b"a"] * 200, [b"a"] * 2000])
+    bits = len(code.decisions(*code.symbols([b"a"] * 2000, code.tokens([b"a"] * 2000)), 14)[0])
+    assert bits < 8192 and longer > 0.95 * 10 * short
+    # texts read together do not touch each other's weights
+    assert np.allclose(model.scores([[b"a"] * 2000, [b"b"] * 1500, []])[0], longer)
