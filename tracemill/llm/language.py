@@ -187,14 +187,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def in_a_language(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text is in a language that could be learned; rejected are texts
-    without any letter."""
+    """The rows of `docs`, with all their columns, whose text has a letter, whatever its language and score; so too where
+    there was nothing to learn from."""
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = judge(net, b.column(at).to_pylist())
-            yield b.filter(pa.array([lang != UNKNOWN for lang, _ in found], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            stay = [any(map(str.isalpha, t or "")) for t in texts] if net is None else [lang != UNKNOWN for lang, _ in judge(net, texts)]
+            yield b.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
