@@ -1,6 +1,9 @@
+import math
 import random
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tracemill.llm import quality as Q
@@ -26,7 +29,7 @@ def test_held_out_grades_and_edges(spark):
     rows = corpus(rng, 900)
     schema = "doc_id long, text string, grade int"
     train = spark.createDataFrame([*rows[:600], (None, None, None), (5, "x", 7)], schema)
-    model = Q.fit(train, 3)
+    model = Q.fit(train, train, 3)
     assert np.all(np.diff(model.thresholds) > 0)
     edge = [(None, None, None), (9000, "", None), (9001, "a b " * 100000, None), (9001, "a b " * 100000, None)]
     got = Q.grade(spark.createDataFrame(rows[600:] + edge, schema).withColumn("keep", F.lit("x")), model, 3).collect()
@@ -62,10 +65,54 @@ def test_fit_is_a_maximum_of_the_weighted_likelihood():
     assert w[0] > 5 * abs(w[1])
 
 
+def plain_grade(text, model):
+    """P(grade >= 1), P(grade >= 2) of one text, feature by feature in plain Python."""
+    at, words, f = lambda name: len(Q.NUMERIC) + xxhash.xxh64_intdigest(name) % (Q.BUCKETS - len(Q.NUMERIC)), text.split(), {}
+    n = len(words)
+    lines = [x for x in text.split("\n") if x.strip()]
+    numeric = [1.0, min(4.0, sum(map(len, words)) / max(1, n) / 5), len(set(words)) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)), sum(c.isalpha() for c in text) / max(1, len(text)), float(n < 20)]
+    score = sum(v * float(model.weights[i]) for i, v in enumerate(numeric))
+    for w in words:
+        core = w.strip("!.")
+        f[at("w:" + core.lower())] = 1.0
+    for w in words:
+        core = w.strip("!.")
+        case = "upper" if len(core) > 1 and core.isupper() else "digits" if core.isdigit() else "word" if core else "none"
+        place = at(f"s:{case}:{'!' if '!' in w else ''}")
+        f[("shape", place)] = f.get(("shape", place), 0.0) + 4.0 / n
+    score += sum(v * float(model.weights[i[1] if isinstance(i, tuple) else i]) for i, v in f.items())
+    return [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+
+
+def test_grades_equal_brute_force(spark):
+    """Words w0... have no accents, so that `letters` is a count of letters."""
+    rng = random.Random(8)
+    rows = corpus(rng, 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = Q.fit(docs, docs, 3)
+    more = [(1000, "", 0), (1001, "DOLT!!! oaf.\n\noaf.\n w1 w2 12 !", 0)]
+    for r in Q.grade(spark.createDataFrame(rows + more, "doc_id long, text string, grade int"), model, 3).collect():
+        text = next(t for i, t, _ in rows + more if i == r.doc_id)
+        assert [r.p_ge_1, r.p_ge_2] == pytest.approx(plain_grade(text, model), abs=1e-5)
+        assert r.keep == (r.p_ge_1 >= 0.5) and r.expected_grade == pytest.approx(r.p_ge_1 + r.p_ge_2)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Ids that repeat and long texts are thinned; what is drawn comes from all grades."""
+    drawn = []
+    monkeypatch.setattr(Q, "fit_ordinal", lambda row, index, value, grades, n: drawn.append(np.bincount(grades, minlength=n)))
+    docs = spark.range(6000).select((F.col("id") % 600).alias("doc_id"), F.lit("a b c d").alias("text"))
+    ratings = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("grade"))
+    Q.fit(docs, ratings, 3, sample=300)
+    Q.fit(docs, ratings, 3, sample=300, characters=7 * 100)
+    assert 450 < drawn[0].sum() < 750 and drawn[0].min() > 100 and 60 < drawn[1].sum() < 140
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    assert [tuple(r) for r in Q.graded_labels(docs, labels).collect()] == [(1, "a", 0)]
-    assert Q.fit(Q.graded_labels(docs, labels.limit(0)), 3) is None
+    assert sorted((tuple(r) for r in Q.graded_labels(labels).collect()), key=str) == [(1, 0), (2, 1), (None, 2)]
+    assert Q.fit(docs, Q.graded_labels(labels.limit(0)), 3) is None
+    assert Q.fit(docs.limit(0), Q.graded_labels(labels), 3) is None
     assert [(r.expected_grade, r.keep) for r in Q.grade(docs, None, 3).collect()] == [(None, True)]
     assert Q.grade(docs.limit(0), None, 3).collect() == []

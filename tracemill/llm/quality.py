@@ -19,9 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, small_side
+
 BUCKETS = 1 << 18
 #: Rated documents that are learned from at most (expected number: they are drawn by hash).
 SAMPLE = 8_000
+#: Characters of the rated texts that are learned from at most (expected number).
+SAMPLE_CHARACTERS = 200_000_000
 #: Sampled documents in which a word's bucket must occur to be learned.
 LEAST_DOCS = 5
 STEPS = 400
@@ -120,15 +124,23 @@ def fit_ordinal(rows: np.ndarray, index: np.ndarray, value: np.ndarray, grades:
     return OrdinalModel(weights, first + np.concatenate(([0.0], np.cumsum(np.exp(gaps)))))
 
 
-def fit(rated: DataFrame, n_grades: int, sample: int = SAMPLE) -> OrdinalModel | None:
-    """Learn from rows (doc_id, text, grade: 0 to n_grades - 1); grades that are null or outside are left out. About
-    `sample` rows at most are drawn, as many of each grade as there are or as its equal part allows."""
-    known = rated.select("doc_id", "text", F.col("grade").cast("int").alias("grade")).filter(F.col("grade").between(0, n_grades - 1))
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE, characters: int = SAMPLE_CHARACTERS) -> OrdinalModel | None:
+    """Learn from the texts of `docs` (doc_id, text) that `ratings` (doc_id, grade: 0 to n_grades - 1) covers; grades that
+    are null or outside and ids without a document are left out. About `sample` ids are drawn by hash, as many of each
+    grade as there are or as its equal part allows, and their texts are read where they lie: only ids travel. Should the
+    drawn texts hold more than `characters` or the ids repeat (more than twice `sample` rows), rows are thinned once more;
+    a single text is never cut, however long, and its features are at most BUCKETS. Without a rated text the model is None."""
+    known = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).filter(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull())
     counts = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
     if not counts:
         return None
     share = F.coalesce(*[F.when(F.col("grade") == g, F.lit(min(1.0, sample / len(counts) / n))) for g, n in counts.items()])
-    drawn = known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", F.length("text")), F.lit(1 << 30)) < share * (1 << 30))
+    ids = small_side(checkpointed(known.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))), 4 * sample)
+    drawn = docs.select("doc_id", "text").withColumn("place", F.monotonically_increasing_id()).join(ids, "doc_id")
+    size = drawn.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters")).first()
+    rest = min(1.0, 2 * sample / max(1, size["rows"]), characters / max(1, size["characters"]))
+    if rest < 1:
+        drawn = drawn.filter(F.pmod(F.xxhash64(F.lit(SEED + 1), "place"), F.lit(1 << 30)) < int(rest * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -151,7 +163,7 @@ def fit(rated: DataFrame, n_grades: int, sample: int = SAMPLE) -> OrdinalModel |
 
 def grade(docs: DataFrame, model: OrdinalModel | None, n_grades: int, least: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, p_ge_1 ... p_ge_{n_grades - 1} and keep (P(grade >= 1) >= `least`) of each row of `docs`;
-    only `text` decides. Null texts count as empty; repeated rows give repeated rows; an empty table gives none; without a
+    only `text` decides. Null texts count as empty; texts of any length are read whole; repeated rows give repeated rows; an empty table gives none; without a
     model (nothing to learn from) the columns are null and all rows are kept; other columns are ignored."""
     tails = [f"p_ge_{k}" for k in range(1, n_grades)]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, expected_grade double, {', '.join(f'{t} double' for t in tails)}, keep boolean"
@@ -172,9 +184,8 @@ def grade(docs: DataFrame, model: OrdinalModel | None, n_grades: int, least: flo
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def graded_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Ratings from labels (doc_id, quality, toxic): 0 toxic, 1 neither toxic nor good, 2 good. Labels that are null count
-    as 0; an id that is labelled more than once takes its lowest grade; labels without a document are ignored."""
+def graded_labels(labels: DataFrame) -> DataFrame:
+    """Ratings (doc_id, grade) from labels (doc_id, quality, toxic): 0 toxic, 1 neither toxic nor good, 2 good. Labels that
+    are null count as 0; an id that is labelled more than once takes its lowest grade."""
     one = F.when(F.col("toxic") > 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
-    lowest = labels.groupBy("doc_id").agg(F.min(one).alias("grade"))
-    return docs.select("doc_id", "text").join(lowest, "doc_id")
+    return labels.groupBy("doc_id").agg(F.min(one).alias("grade"))

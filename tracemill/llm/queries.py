@@ -88,7 +88,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(quality.graded_labels(docs, table(spark, sf_dir, "labels")), n_grades=3)
+    model = quality.fit(docs, quality.graded_labels(table(spark, sf_dir, "labels")), n_grades=3)
     return quality.grade(docs, model, n_grades=3)
 
 
