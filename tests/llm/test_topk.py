@@ -36,10 +36,43 @@ def test_few_rows(spark):
     assert K.top_k(vectors, vectors.vec_id % 50 == 0).collect() == []
 
 
-def test_reading_stops_early():
+def plain(ids, x, i, q, k):
+    ranked = sorted((-int(x[j] @ q), int(ids[j]), j) for j in range(len(ids)) if ids[j] != i)[:k]
+    return [j for _, _, j in ranked]
+
+
+def test_lists_are_read_in_part():
+    """A few dimensions tell most: candidates are ruled out before the lists end. No entry is counted twice."""
     rng = np.random.default_rng(1)
-    lists = rng.normal(size=(4, 5000)).round(3)
-    lists[:, 7:12] += 30
-    asked = []
-    at, score = K.best_of(lists, lists.min(1), np.arange(5000), 5, lambda i: asked.append(len(i)) or lists[:, i].sum(0))
-    assert sorted(at.tolist()) == [7, 8, 9, 10, 11] and asked[0] <= 80
+    x = np.floor(rng.normal(size=(4000, 16)) * 300 * 0.5 ** np.arange(16))
+    ids = rng.permutation(4000)
+    lists = K.Lists.of(ids, x)
+    found = lists.best(ids[:20], x[:20], 5)
+    for i, (at, score, _) in enumerate(found):
+        assert at.tolist() == plain(ids, x, ids[i], x[i], 5) and score.tolist() == (x[at] @ x[i]).tolist()
+    assert np.mean([read for _, _, read in found]) < 0.9 * x.size and max(read for _, _, read in found) <= x.size
+    few = lists.best(ids[:1], np.where(np.arange(16) < 2, x[:1], 0), 5)[0]
+    assert few[2] < 0.2 * x.size
+
+
+@pytest.mark.parametrize("kind", [np.float64, np.int64])
+def test_lists_with_ties_and_odd_vectors(kind):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (300, 6)).astype(kind)
+    x[:100] = x[0]
+    ids = rng.permutation(300) // 2
+    lists = K.Lists.of(ids, x)
+    queries = np.array([*x[:5], *x[150:160], np.zeros(6), [0, 0, 1, 0, 0, 0]], kind)
+    for q, (at, _, read) in zip(queries, lists.best(np.full(len(queries), 3), queries, 5), strict=True):
+        got = [(-int(x[j] @ q), int(ids[j])) for j in at]
+        want = sorted((-int(x[j] @ q), int(ids[j])) for j in range(300) if ids[j] != 3)[:5]
+        assert got == want and read <= x.size
+
+
+def test_ties_at_the_last_place_in_two_blocks(spark):
+    """A repeated id, and more candidates of the same score than there are places, dealt over many blocks."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (8, [2.0, 1.0]), *((i, [1.0, float(i)]) for i in range(200, 240)), (7, [2.0, 5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = K.integer_vectors(table)
+    got = sorted(tuple(r) for r in K.top_k(vectors, vectors.vec_id == 50, candidate_block=3, query_block=1).collect())
+    assert [r[1:] for r in got] == [(1, 7, 2 * 65536), (2, 7, 2 * 65536), (3, 8, 2 * 65536), (4, 200, 65536), (5, 201, 65536)]

@@ -1,15 +1,21 @@
 """Exact top-k inner products by aggregation without random access.
 
 Candidates and queries are dealt into blocks; each pair of a candidate block and a query block is one task's work, of
-bounded size. There a score is the sum of the scores of a few segments of the vector; for each query, every segment is a
-list of candidates sorted by partial score. The lists are read sequentially, in rounds of growing depth. A candidate's
-lower bound is what was read of it plus the least of each list in which it has not appeared; its upper bound adds the last
-value read there instead. Reading stops when no candidate outside the k best lower bounds can reach the k-th one; those
-that still can are resolved to final scores. A block reports k candidates a query; the last step merges blocks.
+bounded size. There every dimension is a list of the block's candidates sorted by their value, made once a block. A query
+reads the lists of its non-zero dimensions in step, from the top where its own value is positive and from the bottom where
+it is negative, so that partial scores come in falling order, in rounds of growing depth. What was read of a candidate
+bounds its score: the unread rest is at most the product of the lengths of both unread rests (entries carry their vector's
+squared length), and a candidate that no list has shown yet gains at most the last values read. A candidate whose upper
+bound is below the k-th best lower bound is out and no longer followed. When few are left, each list is read on only until it
+has shown them all, so that they have their final scores. A block reports k candidates a query; the last step
+merges blocks. On vectors without structure (many dimensions, all alike) hardly anything is ruled out early: the search is
+exact, and then costs a full read of the lists.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,48 +24,90 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 SCALE = 256
-SEGMENTS = 4
 CANDIDATE_BLOCK = 8192
-QUERY_BLOCK = 512
-
-
-def best_of(scores: np.ndarray, floors: np.ndarray, ids: np.ndarray, k: int, resolve) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (positions, scores) of a query; ties go to the smaller id. scores: (segments, n) partial scores, read
-    from the top of each list only. resolve(positions) gives final scores of those that are left over."""
-    m, n = scores.shape
-    if n <= k:
-        at = np.arange(n)
-        total = resolve(at)
-        order = np.lexsort((ids, -total))
-        return at[order], total[order]
-    depth = min(n, max(4 * k, n // 32))
-    while True:
-        if depth < n:
-            tops = np.argpartition(scores, n - depth, axis=1)[:, n - depth :]
-            read = np.take_along_axis(scores, tops, 1)
-            last = read.min(1)
-        else:
-            at = np.arange(n)
-            break
-        seen = np.unique(tops)
-        # what was read of each seen candidate, and in which lists
-        place = np.searchsorted(seen, tops)
-        lower = np.full(len(seen), floors.sum())
-        upper = np.full(len(seen), last.sum())
-        for s in range(m):
-            lower[place[s]] += read[s] - floors[s]
-            upper[place[s]] += read[s] - last[s]
-        if len(seen) >= k:
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-            # a candidate that was not read at all has at most the sum of the last values
-            if last.sum() < bar:
-                at = seen[upper >= bar]
-                if len(at) <= max(64, 16 * k) or 2 * depth >= n:
-                    break
-        depth = min(n, 2 * depth)
-    total = resolve(at)
-    order = np.lexsort((ids[at], -total))[:k]
-    return at[order], total[order]
+QUERY_BLOCK = 4096
+#: Reading in step ends when at most so many times k candidates are left.
+FEW = 20
+#: Queries that read a block's lists in step.
+TOGETHER = 64
+
+
+@dataclass
+class Lists:
+    """For each dimension the positions and values of all candidates by ascending value; ids and squared lengths."""
+
+    at: np.ndarray
+    value: np.ndarray
+    ids: np.ndarray
+    squares: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vectors: np.ndarray) -> Lists:
+        columns = np.ascontiguousarray(vectors.T)
+        at = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        return cls(at, np.take_along_axis(columns, at, 1), ids, (vectors.astype(float) ** 2).sum(1))
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query (they read in step) positions and scores of the k best candidates of other ids, ties to the
+        smaller id, and the entries read."""
+        n, m = len(self.ids), len(queries)
+        sides = queries > 0, queries < 0
+        squares = queries.astype(float) ** 2
+        whole, lists = squares.sum(1), np.count_nonzero(queries, axis=1)
+        partial, met = np.zeros((n, m), self.value.dtype), np.zeros((n, m), np.int16)
+        unread, weight = np.repeat(self.squares[:, None], m, 1), np.repeat(whole[None], n, 0)
+        alive = self.ids[:, None] != query_ids[None]
+        slack = 0.5 + 1e-9 * np.sqrt(whole * self.squares.max(initial=0))
+        depth, dims, busy = 0, np.flatnonzero(queries.any(0)).tolist(), np.ones(m, bool)
+        read = np.zeros(m, np.int64)
+        while depth < n and busy.any():
+            stop = min(n, max(depth + depth // 2, 64, n // 8))
+            outsiders = np.zeros(m)
+            for d in dims:
+                for side, sign in zip(sides, (1, -1), strict=True):
+                    mine = side[:, d]
+                    if not mine.any():
+                        continue
+                    at, value, last = self._entries(d, sign, depth, stop)
+                    w = np.where(mine, queries[:, d], 0)
+                    partial[at] += value[:, None] * w
+                    unread[at] -= np.square(value, dtype=float)[:, None] * mine
+                    weight[at] -= np.where(mine, squares[:, d], 0)
+                    met[at] += mine
+                    outsiders += w * float(last)
+            read += (stop - depth) * lists * busy
+            depth = stop
+            rest = np.where(met == lists, 0.0, np.sqrt(np.maximum(unread, 0) * np.maximum(weight, 0)))
+            low = np.where(alive, partial - rest, -np.inf)
+            floor = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(m, -np.inf)
+            up = np.where(met > 0, partial + rest, np.minimum(rest, outsiders))
+            alive &= up >= floor - slack
+            busy &= (alive.sum(0) > FEW * k) & (alive & (met < lists)).any(0)
+        return [self._finish(queries[i], alive[:, i], partial[:, i].copy(), depth, k, int(read[i])) for i in range(m)]
+
+    def _finish(self, q: np.ndarray, alive: np.ndarray, partial: np.ndarray, depth: int, k: int, read: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Read each list on until it has shown all that are left."""
+        n, left = len(self.ids), int(alive.sum())
+        for d in np.flatnonzero(q).tolist() if depth < n else []:
+            at, missing = depth, left - int(alive[self._entries(d, q[d], 0, depth)[0]].sum())
+            while missing and at < n:
+                stop = min(n, at + max(64, n // 64))
+                places, values, _ = self._entries(d, q[d], at, stop)
+                read += stop - at
+                keep = alive[places]
+                partial[places[keep]] += values[keep] * q[d]
+                missing -= int(keep.sum())
+                at = stop
+        found = np.flatnonzero(alive)
+        order = np.lexsort((self.ids[found], -partial[found]))[:k]
+        return found[order], partial[found[order]], read
+
+    def _entries(self, d: int, weight: float, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Entries start to stop of a list, from the end that is better for the query, and the worst value among them."""
+        n = len(self.ids)
+        part = slice(n - stop, n - start) if weight > 0 else slice(start, stop)
+        values = self.value[d, part]
+        return self.at[d, part], values, values[0 if weight > 0 else -1] if len(values) else 0.0
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -71,28 +119,23 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return out
 
 
-def _search(k: int, segments: int):
+def _search(k: int):
     def run(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(candidates):
             return pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []}).astype("int64")
         q, x = _matrix(queries["vector"]), _matrix(candidates["vector"])
         width = max(q.shape[1], x.shape[1])
         q, x = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (q, x))
-        # products in floating point are exact below 2**53 and much faster
+        # sums in floating point are exact below 2**53 and faster
         exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, width) < 2**53
         kind = np.float64 if exact else np.int64
-        q, x = q.astype(kind), x.astype(kind)
-        ids = candidates["vec_id"].to_numpy()
-        cuts = [np.arange(width)[i::segments] for i in range(min(segments, max(1, width)))]
-        parts = [np.ascontiguousarray(x[:, c].T) for c in cuts]
+        lists = Lists.of(candidates["vec_id"].to_numpy(), x.astype(kind))
+        number, query_ids, q = queries["query"].to_numpy(), queries["vec_id"].to_numpy(), q.astype(kind)
         out = []
-        for query_id, number, v in zip(queries["vec_id"], queries["query"], q, strict=True):
-            lists = np.stack([v[c] @ p for c, p in zip(cuts, parts, strict=True)])
-            # the query's own rows are no candidates; one more place for each of them
-            own = int((ids == query_id).sum())
-            at, score = best_of(lists, lists.min(1), ids, k + own, lambda i, v=v: x[i] @ v)
-            keep = np.flatnonzero(ids[at] != query_id)[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "query": number, "vec_id": ids[at[keep]], "score": score[keep].astype(np.int64)}))
+        for i in range(0, len(q), TOGETHER):
+            found = lists.best(query_ids[i : i + TOGETHER], q[i : i + TOGETHER], k)
+            for j, (at, score, _) in enumerate(found, i):
+                out.append(pd.DataFrame({"query_id": query_ids[j], "query": number[j], "vec_id": lists.ids[at], "score": score.astype(np.int64)}))
         return pd.concat(out)
 
     return run
@@ -107,7 +150,7 @@ def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("v", lambda x: F.floor(x * scale)).alias("vector")).dropDuplicates()
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, segments: int = SEGMENTS, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of `vectors` (vec_id, vector) for which `is_query` holds, the k
     rows of other ids with the highest inner product, fewer if there are fewer; ties to the smaller vec_id. Shorter vectors
     are padded with zeros. Two different vectors under one id are two candidates and two queries. No vectors, no rows."""
@@ -120,6 +163,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, segments: int = SEGMENTS, ca
     # a query meets each block of candidates once, a candidate each block of queries once
     left = queries.select("vec_id", "query", "vector", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("c"), deal_query.alias("q"))
     right = rows.select("vec_id", "vector", deal.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(m_blocks - 1))).alias("q"))
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(_search(k, segments), "query_id long, query long, vec_id long, score long")
+    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInPandas(_search(k), "query_id long, query long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
