@@ -1,80 +1,97 @@
-"""Which program a shell command runs, and which file it is about."""
+"""Which program a shell command runs, and which file it is about: column expressions.
 
-from __future__ import annotations
+`cmd_name` cuts a command into lexemes with one regular expression and folds them with a small state machine, so that it
+stays in the JVM and needs no Python worker."""
 
-import re
-from posixpath import basename
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# How far to look, words that stand before the program, and options of theirs that take a value.
+# Characters that are looked at, words before the program at most, longest name.
 SCAN, HOPS, LONGEST = 4000, 12, 64
-WRAPPERS = {
-    "sudo": "-u -g -C -p -r -t -T -D -h", "doas": "-u -C", "env": "-u -C -S", "time": "-f -o", "nohup": "", "exec": "", "command": "", "builtin": "",
-    "nice": "-n", "stdbuf": "-i -o -e", "caffeinate": "-t -w",
-}
-PREAMBLE = frozenset("cd pushd popd set export shopt umask ulimit unset alias local declare readonly".split())
+# Programs that run the program behind them, and their options that take the next word.
+WRAPPERS = ("sudo", "doas", "env", "time", "nohup", "exec", "command", "builtin", "nice", "stdbuf", "caffeinate")
+OPTIONS_WITH_VALUE = {
+    "sudo": ("-u", "-g", "-C", "-p", "-r", "-t", "-T", "-D", "-h"),
+    "doas": ("-u", "-C"),
+    "env": ("-u", "-C", "-S"),
+    "time": ("-f", "-o"),
+    "nice": ("-n",),
+    "stdbuf": ("-i", "-o", "-e"),
+    "caffeinate": ("-t", "-w"),
+}
+# Builtins that only prepare what follows behind the next separator, and other names of builtins.
+PREAMBLE = ("cd", "pushd", "popd", "set", "export", "shopt", "umask", "ulimit", "unset", "alias", "local", "declare", "readonly")
 ALIASES = {"[": "test", "[[": "test", ".": "source"}
+# Programs by what they do with files.
 READS = ("cat", "head", "tail", "less", "more")
 WRITES = ("cp", "mv", "touch")
 FIRST_WORD = (*READS, "rm", "touch", "mkdir", "ls")
 FILE_COMMANDS = (*READS, "cp", "mv", "rm", "mkdir", "touch", "ls", "find", "tree", "chmod", "chown", "tar", "zip", "unzip", "sed", "awk", "sort", "wc", "diff", "patch")
 
-_LEAD = re.compile(r"[\s(){}!;&|<>]+")
-_ASSIGNMENT = re.compile(r"""[A-Za-z_]\w*\+?=(?:"[^"]*"|'[^']*'|`[^`]*`|\$\([^)]*\)|[^\s;&|)]*)""", re.A)
-_WORD = re.compile(r"[^\s;&|<>()]+")
-_OPTION = re.compile(r"\s*(-\S+)")
-_ARGUMENT = re.compile(r"\s*\S+")
-_SEPARATOR = re.compile(r"&&|[|;\n]")
+_ASSIGNMENT = r"""[A-Za-z_][A-Za-z0-9_]*\+?=(?:"[^"]*"|'[^']*'|`[^`]*`|\$\([^)]*\)|[^\s;&|)]*)"""
+_LEXEME = rf"({_ASSIGNMENT}|&&|\|\||\n|[;|&<>(){{}}!]|[^\s;&|<>()]+)"
+_SEPARATORS = ("&&", "||", ";", "|", "\n")
+_OPERATORS = (*_SEPARATORS, "&", "<", ">", "(", ")", "{", "}", "!")
+# States of the fold.
+_SEEK, _WRAPPED, _VALUE, _PREPARED, _FOUND = range(5)
+
+
+def _any_of(x: Column, values: tuple[str, ...]) -> Column:
+    return x.isin(*values)
 
 
-def command_name(command: str | None) -> str:
+def cmd_name(command: Column) -> Column:
     """The lower-case base name of the program that a command runs in effect: behind comments, assignments, wrappers and
-    preamble. `(var)` for a variable; empty if it cannot be told."""
-    kept = []
-    for line in (command or "")[:SCAN].split("\n"):
-        line = line.strip()
-        if line and line[0] != "#" and (line := line[:-1].rstrip() if line[-1] == "\\" else line):
-            kept.append(line)
-    text, at = "\n".join(kept), 0
-    for _ in range(HOPS):
-        at = m.end() if (m := _LEAD.match(text, at)) else at
-        if m := _ASSIGNMENT.match(text, at):
-            at = m.end()
-            continue
-        if not (m := _WORD.match(text, at)):
-            break
-        word, at = m[0].strip("'\"`"), m.end()
-        name = ALIASES.get(word) or basename(word.rstrip("/")).lower()
-        name = ALIASES.get(name, name)
-        if name in WRAPPERS:
-            takes = WRAPPERS[name].split()
-            while (m := _OPTION.match(text, at)) and len(m[1]) > 1:
-                at = m.end()
-                if m[1] in takes and (m := _ARGUMENT.match(text, at)):
-                    at = m.end()
-            left = text[at:].lstrip()
-            if left and left[0] not in ">&|;<":
-                continue
-        elif name in PREAMBLE and (m := _SEPARATOR.search(text, at)):
-            at = m.end()
-            continue
-        return "(var)" if name.startswith("$") else name[:LONGEST]
-    return ""
-
-
-@F.pandas_udf(StringType())
-def cmd_name(commands: pd.Series) -> pd.Series:
-    """`command_name` over Arrow batches; the hops cannot be written as expressions."""
-    names: dict[str | None, str] = {}
-    return commands.map(lambda c: names[c] if c in names else names.setdefault(c, command_name(c)))
+    preamble. `(var)` for a variable; empty, never null, if it cannot be told.
+
+    The fold's state is (mode, name, hops). Seeking: assignments and operators are passed over, the first word decides.
+    Behind a wrapper its options are passed over, with their values; an operator ends it, and then the wrapper itself is the
+    program. Behind a preamble all is passed over up to a separator; without one the preamble is the program."""
+    text = F.substring(F.coalesce(command, F.lit("")), 1, SCAN)
+    text = F.regexp_replace(text, r"(?m)^[^\S\n]*#.*$", "")
+    text = F.regexp_replace(text, r"(?m)\\[^\S\n]*$", "")
+    lexemes = F.regexp_extract_all(stripped(text), F.lit(_LEXEME), F.lit(1))
+    at = lambda mode, name, hops: F.struct(F.lit(mode).cast("int").alias("mode"), name.alias("name"), hops.alias("hops"))
+
+    def step(s: Column, x: Column) -> Column:
+        mode, name, hops = s["mode"], s["name"], s["hops"]
+        again = hops + 1
+        operator = _any_of(x, _OPERATORS)
+        raw = F.regexp_replace(x, "^['\"`]+|['\"`]+$", "")
+        base = F.lower(F.element_at(F.split(F.regexp_replace(raw, "/+$", ""), "/"), -1))
+        for short, long in ALIASES.items():
+            base = F.when((raw == short) | (base == short), long).otherwise(base)
+        word = (
+            F.when(hops >= HOPS, at(_FOUND, F.lit(""), hops))
+            .when(F.rlike(x, F.lit(f"^{_ASSIGNMENT}")), at(_SEEK, F.lit(""), again))
+            .when(_any_of(base, WRAPPERS), at(_WRAPPED, base, again))
+            .when(_any_of(base, PREAMBLE), at(_PREPARED, base, again))
+            .otherwise(at(_FOUND, F.when(F.startswith(base, F.lit("$")), "(var)").otherwise(F.substring(base, 1, LONGEST)), hops))
+        )
+        takes = F.lit(False)
+        for program, options in OPTIONS_WITH_VALUE.items():
+            takes = takes | ((name == program) & _any_of(x, options))
+        return (
+            F.when(mode == _FOUND, s)
+            .when(mode == _PREPARED, F.when(_any_of(x, _SEPARATORS), at(_SEEK, F.lit(""), hops)).otherwise(s))
+            .when((mode == _VALUE) & ~operator, at(_WRAPPED, name, hops))
+            .when(mode.isin(_WRAPPED, _VALUE) & _any_of(x, (*_SEPARATORS[:4], "&", "<", ">")), at(_FOUND, name, hops))
+            .when((mode == _WRAPPED) & F.rlike(x, F.lit("^-.")), F.when(takes, at(_VALUE, name, hops)).otherwise(s))
+            .when(operator, F.when(mode.isin(_WRAPPED, _VALUE) & (x == "\n"), s).otherwise(at(_SEEK, F.lit(""), hops)))
+            .otherwise(word)
+        )
+
+    return F.aggregate(lexemes, at(_SEEK, F.lit(""), F.lit(0)), step, lambda s: s["name"])
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def _words(command: Column) -> Column:
-    return F.split(F.regexp_replace(command, r"^\s+|\s+$", ""), r"\s+")
+    return F.split(stripped(command), r"\s+")
 
 
 def _program(command: Column) -> Column:
