@@ -29,7 +29,35 @@ def test_one_edit_of_a_repeated_value_and_equal_numbers_that_change_apart(spark)
 
 
 def test_windows_that_count():
-    jo = [(0, ["jo", "", ""], ["al", "", ""]), (1, ["", "", "jo"], ["", "", "jo"]), (4, ["", "jo", ""], ["", "jo", ""])]
+    jo = [(0, 3, ["jo", "", ""], ["al", "", ""]), (1, 3, ["", "", "jo"], ["", "", "jo"]), (4, 3, ["", "jo", ""], ["", "jo", ""])]
     assert D.counted(jo) == ([1, 4], True)
     assert D.counted(jo[:2]) == ([1], True)
-    assert D.counted([(0, ["jo", "2"], ["al", "3"]), (5, ["2", "jo"], ["4", "al"])]) == ([0, 5], False)
+    assert D.counted([(0, 3, ["jo", "2"], ["al", "3"]), (5, 3, ["2", "jo"], ["4", "al"])]) == ([0, 5], False)
+    # the same binding at all offsets, and no two names to one
+    assert D.counted([(0, 3, ["jo"], ["al"]), (1, 3, ["jo"], ["al"]), (5, 4, ["jo"], ["ed"])]) == ([0, 1], False)
+    assert D.counted([(0, 3, ["jo"], ["al"]), (1, 3, ["jo"], ["al"]), (5, 3, ["bo"], ["al"])]) == ([0, 1], False)
+
+
+def test_one_word_between_the_halves_does_not_hide_a_contradiction(spark):
+    item = "If Alice buys twelve apples and Bob buys seven apples at the market then how many more coins does Alice pay there than what Bob has to pay in total today"
+    words = item.replace("Alice", "Carla").replace("Bob", "Dan").split()
+    other = item.replace("Alice", "Eva").replace("Bob", "Zed").split()
+    both = item.replace("Alice", "Eva").replace("Bob", "Eva")
+    half = len(words) // 2
+    rows = [(1, " ".join(words)), (2, " ".join(words[:half] + other[half:])), (3, " ".join([*words[:half], "then", *other[half:]])), (4, both), (5, " ".join([*words[:half], "then", *words[half:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in D.contaminated(docs, bench, share=0.7).collect()} == {1, 5}
+
+
+def test_a_window_that_repeats_in_a_long_text_and_in_many_items(spark):
+    docs = spark.createDataFrame([(1, "a 1 b 2 c " * 300), (2, "x y z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"a {i} b {i} c a {i} b {i} c a {i} b") for i in range(30)], "item_id long, text string")
+    got = D.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, i) for i in range(30)} and all(r.containment == 1 for r in got)
+
+
+def test_other_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "p q r s t u v", 5, 6, "k"), (2, ITEM, 7, 8, "k")], "doc_id long, text string, row_of_text int, row_to_drop int, row string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert [tuple(r) for r in D.decontaminated(docs, bench).collect()] == [(1, "p q r s t u v", 5, 6, "k")]

@@ -32,6 +32,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of `names` that `df` does not have, whatever its own are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, unused
 
 WINDOW = 5
 SHARE = 0.8
-#: Bits of the filter of benchmark windows that goes to every task: 2**FILTER_BITS bits, whatever the benchmark's size.
-FILTER_BITS = 23
+#: The filter of benchmark windows that goes to every task has about 16 bits for each, 2**20 at least and 2**28 (32 MB) at most.
+LEAST_BITS, MOST_BITS = 20, 28
 WORDS_KEPT = 500_000
 
 # Units of measure and currency signs, as they are written after or before numbers.
@@ -206,9 +206,9 @@ class Templates:
         return out
 
 
-def _filter_of(hashes: list[int]) -> np.ndarray:
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    h = np.array(hashes, np.int64).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+def _filter_of(hashes: list[int], width: int) -> np.ndarray:
+    bits = np.zeros(1 << (width - 3), np.uint8)
+    h = np.array(hashes, np.int64).view(np.uint64) >> np.uint64(64 - width)
     np.bitwise_or.at(bits, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7))).astype(np.uint8))
     return bits
 
@@ -228,7 +228,7 @@ def _windows(window: int, bits: np.ndarray | None, id_name: str):
                         h = templates.windows(pieces)
                         at = np.arange(len(h))
                         if bits is not None:
-                            top = h >> np.uint64(64 - FILTER_BITS)
+                            top = h >> np.uint64(61 - (len(bits) - 1).bit_length())
                             at = np.flatnonzero(bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
                         if not len(at):
                             continue
@@ -257,39 +257,46 @@ def _row_key(id_name: str):
 
 
 def _filter_bits(items: DataFrame) -> np.ndarray:
-    """The union of the tasks' filters; each has the same, fixed size."""
+    """The union of the tasks' filters; each has the same size, which follows the number of windows."""
+
+    hashes = items.select("hash").distinct()
+    width = min(MOST_BITS, max(LEAST_BITS, hashes.count().bit_length() + 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        bits = np.zeros(1 << (width - 3), np.uint8)
         for b in batches:
-            bits |= _filter_of(b.column(0).to_pylist())
+            bits |= _filter_of(b.column(0).to_pylist(), width)
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()])], ["bits"])
 
-    merged = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in items.select("hash").distinct().coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+    merged = np.zeros(1 << (width - 3), np.uint8)
+    for row in hashes.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         merged |= np.frombuffer(row.bits, np.uint8)
     return merged
 
 
-def counted(found: list[tuple[int, list[str], list[str]]]) -> tuple[list[int], bool]:
-    """(positions that count, whether all of them are literal) of the windows (position, the item's values, the document's
-    values) at one offset. Windows with the item's own values always count. In the others each name or unit must go to the
-    value that it has at most of its places (ties: its own, then the smallest); numbers are slots of their own, so that
-    equal ones may change apart."""
-    places: dict[tuple[int, str], str] = {}
-    for position, ours, theirs in found:
+def counted(found: list[tuple[int, int, list[str], list[str]]]) -> tuple[list[int], bool]:
+    """(positions that count, whether all of them are literal) of the windows (item's position, offset, item's values,
+    document's values) of one occurrence. Windows with the item's own values always count. In the others each name or unit
+    must go to the value that it has at most of its places, at all offsets of the occurrence (ties: its own, then the
+    smallest), and no two of them to one value (the one with fewer places loses it); numbers are slots of their own, so
+    that equal ones may change apart."""
+    places: dict[tuple[int, int, str], str] = {}
+    for position, offset, ours, theirs in found:
         for i, (a, b) in enumerate(zip(ours, theirs, strict=True)):
             if a and not a[-1].isdigit():
-                places[position + i, a] = b
+                places[position + i, offset, a] = b
     votes: dict[str, dict[str, int]] = {}
-    for (_, a), b in places.items():
+    for (_, _, a), b in places.items():
         of = votes.setdefault(a, {})
         of[b] = of.get(b, 0) + 1
-    chosen = {a: min(of, key=lambda b: (-of[b], b != a, b)) for a, of in votes.items()}
+    chosen: dict[str, str] = {}
+    for n, _, a, b in sorted((-n, b != a, a, b) for a, of in votes.items() for b, n in of.items()):
+        if a not in chosen and b not in chosen.values():
+            chosen[a] = b
     positions, own = set(), True
-    for position, ours, theirs in found:
+    for position, _, ours, theirs in found:
         literal = ours == theirs
-        if literal or all(chosen.get(a, b) == b for a, b in zip(ours, theirs, strict=True)):
+        if literal or all(not a or a[-1].isdigit() or chosen.get(a) == b for a, b in zip(ours, theirs, strict=True)):
             positions.add(position)
             own = own and literal
     return sorted(positions), own
@@ -298,7 +305,7 @@ def counted(found: list[tuple[int, list[str], list[str]]]) -> tuple[list[int], b
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = b.num_columns - 1
-        got = [counted([(w["item_position"], w["item_slots"], w["slots"]) for w in found]) for found in b.column(at).to_pylist()]
+        got = [counted([(w["item_position"], w["offset"], w["item_slots"], w["slots"]) for w in found]) for found in b.column(at).to_pylist()]
         columns = [*b.columns[:at], pa.array([p for p, _ in got], pa.list_(pa.int64())), pa.array([own for _, own in got], pa.bool_())]
         yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:at], "positions", "own"])
 
@@ -309,7 +316,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     containment, and kind: `exact` if all matched slots hold the item's own values, else `reparameterised`.
 
     Null, empty and blank texts, and items without any letter or digit, match nothing. Items of fewer than `window` pieces
-    match documents that consist of that template alone. Repeated documents give one row; repeated items do not count
+    match documents that consist of that template alone. Very long texts are read whole; a window that repeats in a
+    text counts once for each place of an item and way to fill its slots. Repeated documents give one row; repeated items do not count
     twice; two texts under one id are two rows; empty tables give no rows; other columns are ignored."""
     raw = benchmark.select(F.col("item_id"), _row_key("item_id").alias("key"), "text").filter("text is not null").dropDuplicates(["item_id", "key"])
     schema = "{0} {1}, row long, hash long, position long, windows long, slots array<string>"
@@ -319,15 +327,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     found = rows.mapInArrow(_windows(window, bits, "doc_id"), schema.format("doc_id", dict(docs.dtypes)["doc_id"]))
     theirs = items.select("item_id", F.col("row").alias("item"), "hash", F.col("position").alias("item_position"), F.col("windows").alias("item_windows"), F.col("slots").alias("item_slots"))
     # a short text is a single window that only equals another short text's
-    hits = found.join(theirs, "hash").withColumn("offset", F.col("position") - F.col("item_position"))
     keys = ["doc_id", "row", "item_id", "item"]
-    window_of = F.struct("item_position", "item_slots", "slots")
-    one = hits.groupBy(*keys, "offset").agg(F.collect_set(window_of).alias("found"), F.max("item_windows").alias("item_windows"))
-    changed = F.exists("found", lambda x: x["item_slots"] != x["slots"])
-    literal = one.filter(~changed).select(*keys, "item_windows", F.transform("found", lambda x: x["item_position"]).alias("positions"), F.lit(True).alias("own"))
+    hits = found.join(theirs, "hash").withColumn("offset", F.col("position") - F.col("item_position")).withColumn("changed", F.col("item_slots") != F.col("slots"))
+    literal = hits.filter(~F.col("changed")).groupBy(*keys).agg(F.collect_set("item_position").alias("literal"), F.max("item_windows").alias("item_windows"))
+    # an occurrence spans as many offsets as the item has windows; one of two grids of twice that width holds it whole. Only
+    # grid cells with a changed window need a look; a cell holds a number of windows that the item bounds
+    grid = lambda shift: F.floor((F.col("offset") + shift * F.col("item_windows")) / (2 * F.col("item_windows")))
+    cells = hits.select("*", F.explode(F.array(F.struct(F.lit(0).alias("grid"), grid(0).alias("cell")), F.struct(F.lit(1).alias("grid"), grid(1).alias("cell")))).alias("at"))
+    window_of = F.struct("item_position", "offset", "item_slots", "slots")
+    one = cells.groupBy(*keys, "at").agg(F.collect_set(window_of).alias("found"), F.max("item_windows").alias("item_windows"), F.bool_or("changed").alias("changed")).filter("changed")
     kinds = [f"{name} {dict(one.dtypes)[name]}" for name in (*keys, "item_windows")]
-    others = one.filter(changed).select(*keys, "item_windows", "found").mapInArrow(_settle, ", ".join([*kinds, "positions array<long>", "own boolean"]))
-    best = literal.unionByName(others).groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("matched"), F.max("item_windows").alias("item_windows"), F.min(F.col("own").cast("int")).alias("own"))
+    settled = one.select(*keys, "item_windows", "found").mapInArrow(_settle, ", ".join([*kinds, "positions array<long>", "own boolean"]))
+    changed = settled.select(*keys, "item_windows", F.lit(None).cast("array<long>").alias("literal"), "positions", "own")
+    parts = literal.select(*keys, "item_windows", "literal", F.lit(None).cast("array<long>").alias("positions"), F.lit(True).alias("own")).unionByName(changed)
+    # the best occurrence of a pair adds to what is literal anywhere in the text
+    both = parts.groupBy(*keys).agg(F.max("item_windows").alias("item_windows"), F.flatten(F.collect_list("literal")).alias("literal"), F.collect_list(F.struct("positions", "own")).alias("cells"))
+    total = F.transform(F.filter("cells", lambda c: c["positions"].isNotNull()), lambda c: F.struct(F.size(F.array_union("literal", c["positions"])).alias("matched"), F.when(c["own"], 1).otherwise(0).alias("own")))
+    most = F.coalesce(F.array_max(total), F.struct(F.size("literal").alias("matched"), F.lit(1).alias("own")))
+    best = both.select(*keys, "item_windows", most.alias("most")).select(*keys, "item_windows", "most.matched", "most.own")
     needed = F.ceil(F.col("item_windows") * F.lit(share) - F.lit(1e-9))
     kind = F.when(F.col("own") == 1, "exact").otherwise("reparameterised")
     return best.filter(F.col("matched") >= needed).select("doc_id", "row", "item_id", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("containment"), kind.alias("kind"))
@@ -335,5 +352,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """The rows of `docs`, with all their columns, that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, window, share).select(F.col("row").alias("__bad")).distinct()
-    return docs.withColumn("__row", _row_key("doc_id")).join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+    row, bad = unused(docs, "row_of_text", "row_to_drop")
+    found = contaminated(docs, benchmark, window, share).select(F.col("row").alias(bad)).distinct()
+    return docs.withColumn(row, _row_key("doc_id")).join(found, F.col(row) == F.col(bad), "left_anti").drop(row)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, unused
 from .components import connected_components
 
 SHINGLE = 4
@@ -27,6 +27,8 @@ THRESHOLD = 4
 SEED = 42
 #: Most fingerprints of one anchor that are compared in one piece; larger anchors are cut into pairs of such blocks.
 BLOCK = 32768
+#: Parts in which a group's smallest id meets its fingerprints.
+SALTS = 32
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -206,11 +208,14 @@ def grouped(docs: DataFrame, threshold: int, shingle: int, block: int) -> tuple[
     """(doc_id, fp) of each row, and for each distinct fp: its root fp and the smallest doc_id of its component."""
     prints = checkpointed(with_fingerprint(docs, "text", "fp", ["doc_id"], shingle))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    members = connected_components(links(prints, threshold, block))  # node, root: only linked fingerprints
-    nodes = firsts.join(members.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    # a single linked group may hold a third of all fingerprints: aggregate first, join the smallest id back after
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints, checkpointed(nodes.join(least, "root").select("fp", "root", "component_id"))
+    members = checkpointed(connected_components(links(prints, threshold, block)))  # node, root: only linked fingerprints
+    linked = firsts.join(members.withColumnRenamed("node", "fp"), "fp")
+    # a linked group may hold a third of all fingerprints: its smallest id comes back in SALTS parts
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"])
+    alone = firsts.join(members.select(F.col("node").alias("fp")), "fp", "left_anti")
+    roots = salted.select("fp", "root", "component_id").unionByName(alone.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id")))
+    return prints, checkpointed(roots)
 
 
 def _with_roots(prints: DataFrame, roots: DataFrame) -> DataFrame:
@@ -225,16 +230,16 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: i
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     best = _with_roots(prints, roots).groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("size")).select("best.doc_id", "best.fp")
     names = docs.columns
-    fp, mine = "__fp", "__mine"
-    stay = best.select(F.col("doc_id").alias("__id"), F.col("fp").alias(fp))
-    full = with_fingerprint(docs.withColumn("__t", F.col("text")), "__t", fp, names, shingle)
-    kept = full.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (full[fp] == stay[fp]), "left_semi")
+    fp, mine, id_, text = unused(docs, "fp_of_row", "fp_again", "id_that_stays", "text_again")
+    stay = best.select(F.col("doc_id").alias(id_), F.col("fp").alias(mine))
+    on = lambda df: F.col("doc_id").eqNullSafe(F.col(id_)) & (df[fp] == F.col(mine))
+    full = with_fingerprint(docs.withColumn(text, F.col("text")), text, fp, names, shingle)
+    kept = full.join(stay, on(full), "left_semi")
     # repeated rows: several rows with the winner's id and fingerprint; only those need a second look
-    repeated = prints.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias(mine)).count().filter("count > 1").drop("count")
-    repeated = repeated.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col(mine)), "left_semi")
+    again = prints.groupBy(F.col("doc_id").alias("other"), F.col("fp").alias("other_fp")).count().filter("count > 1")
+    repeated = stay.join(again, F.col("other").eqNullSafe(F.col(id_)) & (F.col("other_fp") == F.col(mine)), "left_semi")
     if repeated.isEmpty():
         return kept.select(*[F.col(f"`{c}`") for c in names])
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(fp) == F.col(mine))
-    once = kept.join(repeated, on, "left_anti")
-    many = kept.join(repeated, on, "left_semi").dropDuplicates(["doc_id", fp])
+    once = kept.join(repeated, on(kept), "left_anti")
+    many = kept.join(repeated, on(kept), "left_semi").dropDuplicates(["doc_id", fp])
     return once.unionByName(many).select(*[F.col(f"`{c}`") for c in names])

@@ -7,29 +7,33 @@ from this index by a join, and only those run their expression. Host rules (`exa
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side
+from .common import fits_broadcast, small_side
 
 ALLOW, BLOCK = "allow", "block"
 #: Rules up to which their index is broadcast; beyond, the join is a shuffle.
 SMALL_RULES = 100_000
+SALTS = 32
 TOKEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """`rank` decides between fitting rules, the highest first; `name` is reported for host rules only."""
+    """`rank` decides between fitting rules, the highest first; `name` is reported for host rules only. `cased`: whether the
+    expression sees the path as it is written; else host and path are lower-cased."""
 
     pattern: str
     tokens: tuple[str, ...]
     verdict: str
     rank: int
     name: str | None = None
+    cased: bool = False
 
 
 def _tokens(text: str) -> list[str]:
@@ -44,7 +48,7 @@ def host_rule(host: str, path: str, verdict: str) -> Rule:
     if not whole:
         raise ValueError("a host rule needs a host")
     # the expression sees `host` + newline + `path`
-    return Rule(f"^(?:[^\\n]*\\.)?{_quoted(host)}\\n{_quoted(path)}", tuple(dict.fromkeys(whole)), verdict, 1000 + len(host) + len(path), host + path)
+    return Rule(f"^(?:[^\\n]*\\.)?{_quoted(host)}\\n{_quoted(path)}", tuple(dict.fromkeys(whole)), verdict, 1000 + len(host) + len(path), host + path, True)
 
 
 def _quoted(text: str) -> str:
@@ -58,6 +62,36 @@ def pattern_rule(pattern: str, tokens: tuple[str, ...], verdict: str = BLOCK, ra
     return Rule(pattern, tokens, verdict, rank)
 
 
+_SEPARATOR = r"(?:[^a-z0-9_.%\-]|$)"
+
+
+def filter_rule(line: str) -> Rule | None:
+    """A rule of the plain syntax of public filter lists: literal text, `*` for anything, `^` for a separator or the end,
+    `||` before a host and its subdomains, `|` for the end, `@@` for exceptions, which outrank all blocking filters.
+    Comments, element rules and filters with options give None; so do those without a whole literal token."""
+    line = line.strip().lower()
+    if not line or line[0] in "![" or "##" in line or "#@#" in line or "$" in line:
+        return None
+    verdict, rank = (ALLOW, 2) if line.startswith("@@") else (BLOCK, 1)
+    body = line[2:] if verdict == ALLOW else line
+    at_host, body = body.startswith("||"), body[2:] if body.startswith("||") else body
+    at_end, body = body.endswith("|"), body[:-1] if body.endswith("|") else body
+    if "|" in body or not body.strip("*"):
+        return None
+    pieces, in_host = [], at_host
+    for c in body:
+        if c == "/" and in_host:
+            pieces.append(r"\n/")
+        else:
+            pieces.append(".*" if c == "*" else _SEPARATOR if c == "^" else _quoted(c))
+        in_host = in_host and c not in "/*^"
+    pattern = "(?s)" + (r"^(?:[^\n]*\.)?" if at_host else "") + "".join(pieces) + ("$" if at_end else "")
+    # runs that a wildcard or an open end cannot lengthen are whole tokens of every fit
+    shown = ("" if at_host else "*") + body + ("" if at_end else "*")
+    whole = [m[0] for m in re.finditer(r"(?<![a-z0-9*\x80-\U0010ffff])[a-z0-9\x80-\U0010ffff]+(?![a-z0-9*\x80-\U0010ffff])", shown)]
+    return Rule(pattern, tuple(dict.fromkeys(whole)), verdict, rank) if whole else None
+
+
 HOST_RULES = (
     host_rule("org", "/", ALLOW),
     host_rule("example.org", "/es/", BLOCK),
@@ -87,8 +121,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    rows = [(i, r.pattern, list(r.tokens), r.verdict, r.rank, r.name) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "rule_id long, pattern string, tokens array<string>, rule_verdict string, rank int, name string")
+    """One row for each rule, from a literal: no worker takes part."""
+    rows = [{"rule_id": i, "pattern": r.pattern, "tokens": r.tokens, "rule_verdict": r.verdict, "rank": r.rank, "name": r.name, "cased": r.cased} for i, r in enumerate(rules)]
+    schema = "array<struct<rule_id:long,pattern:string,tokens:array<string>,rule_verdict:string,rank:int,name:string,cased:boolean>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), schema)).alias("rule")).select("rule.*")
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataFrame:
@@ -108,8 +144,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataFrame
     # the rarest token of each rule; one that no URL holds makes the rule's index entry unreachable, as it should
     listed = rules.select("*", F.explode("tokens").alias("token")).join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = listed.groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("key")).select("rule_id", F.col("key.token").alias("token"))
-    index = small_side(rules.drop("tokens").join(rarest, "rule_id"), SMALL_RULES)
-    fits = words.join(index, "token").filter(F.expr("rlike(if(rank >= 1000, concat_ws('\\n', host, path), lower(concat_ws('\\n', host, path))), pattern)"))
+    index = rules.drop("tokens").join(rarest, "rule_id")
+    if fits_broadcast(index, SMALL_RULES):
+        candidates = words.join(F.broadcast(index), "token")
+    else:
+        # a token that most urls hold may index rules too: both sides meet in SALTS parts
+        spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        candidates = words.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(spread, ["token", "salt"])
+    fits = candidates.filter(F.expr("rlike(if(cased, concat_ws('\\n', host, path), lower(concat_ws('\\n', host, path))), pattern)"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("rank", (-F.col("rule_id")).alias("first"), "name", "rule_verdict")).alias("best"))
     judged = parts.join(best, ["host", "path"], "left")
     return judged.select("page_id", "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
