@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from tracemill.plans import catalogue
+from tracemill.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -34,15 +34,15 @@ def _rows(names, rows):
     return sorted((tuple(_value(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, SF)
-    want = duck.execute(catalogue.ORACLE_SQL[name])
+    got = registry.QUERIES[name](spark, SF)
+    want = duck.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     assert _rows(got.columns, got.collect()) == _rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    assert registry.QUERIES[name](spark, SF).count() > 0

@@ -5,6 +5,8 @@ queries and the SQL that checks them see the same rows."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 DIALECTS = {
@@ -14,7 +16,63 @@ DIALECTS = {
 
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 
+# Literal inputs of scalar functions, by kind; `|` stands for a line break.
+CASES = {
+    "date": ("2026-07-10", "2026-07-10T00:00:00Z", "2026-07-10T02:00:00+02:00", "2026-07-10T12:34:56.789Z", "2026-07-10T12:34:56", "2026-01-10T23:59:59.5-05:30"),
+    "host": ("mini.local", "box.localdomain", "Mac", "macbook-pro.local", "", " ", "localhost", "build-7", "UNKNOWN", "a.local.localdomain"),
+    "agent": ("a1e94cf", "acompact-1f", "abb5998eb0fb92919", "aside_question-2", "dead-beef", "", "-x", "Abc"),
+    "path": (
+        "/Users/me/work/app", "-Users-me-my-code-twin-peaks", "-Users-me", "/sessions/x/mnt/roadmap/a.md", "/Users/me/OneDrive-Acme/plans/b.md", "/tmp/x", "/Users/me/Documents/notes.txt", "/Claude_Coworks/alpha/outputs", "/mnt/outputs/beta", "relative/path",
+        "/var/folders/ab/c", "/Users/me/Downloads/.claude/gamma", "/a/local-agent-mode-sessions/mnt/x", "/p/11111111-2222-3333-4444-555555555555/subagents/agent-a1b2.jsonl", "/p/11111111-2222-3333-4444-555555555555/subagents/workflows/wf_9-x/agent-c3.jsonl", "/p/q/agent-d4.jsonl", "/p/s.jsonl",
+    ),
+    "spawn": ('{"subagent_type": "Explore", "prompt": "look"}', '{"name": "n1"}', '{"resume": "x"}', "{}", '{"name": " flow ", "args": "a"}', '{"title": "t"}', '{"scriptPath": "/x/find-flaky-wf_12.js"}', '{"resumeFromRunId": "wf_77", "script": "export const meta = { name: \'deep\' }"}', '{"run_in_background": true, "model": "m"}'),
+    "reply": ('{"a": 1}', '```json|{"a": 2}|```', '<think>x|y</think> {"a": 3} done', "  ", "no json", 'say {"a": {"b": 4}} end }'),
+    "tools": ("Using grep tool and Tool: find", '<invoke name="edit">', "Tool: a Tool: a Using b tool", "none", ""),
+    "marker": ("|--- tool_use: web ---|{}|", "text|--- tool_result: web (ok) ---|x|--- tool_result: sh (error) ---|y", " --- tool_use: indented ---", "plain"),
+    "result": ('[{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]', "plain text", '{"type": "text", "text": "c"}', '["d", "e", ""]', "", '[{"type": "image"}]'),
+    "noise": ("data:image/png;base64,AAA= x", "<thinking>q", "[Request interrupted by user] y", "The user opened the file a.py in the IDE. go", "</system-reminder>z", "plain"),
+    "error": ("Exit code 127|x", "Exit code x", "no", "Exit code 1", "false", "0", "NULL", " none ", "true", "", "1"),
+    "command": ("cat -n a.txt b", "mv -f a b", "cp a", "grep a", "ls", "/bin/rm x", "tail f g", "", "  head  y ", "chmod 1 z"),
+    "tool": ("mcp__srv__do", "mcp__srv__do__more", "mcp__x", "Read", "mcp____y", ""),
+    "source": ("codex_work_desktop", "Codex Desktop", "codex_vscode", "codex_cli_rs", "codex-tui", "codex_exec", "banana_client", ""),
+    "tagged": ("<system-reminder>x</system-reminder> hi ", "a <b>c</b>", "x <ide_selection> y", "<command-name>a</command-name>", "plain"),
+}
+
+
+def _cases() -> str:
+    rows = [f"('{kind}', {i}, '{x.replace(chr(39), chr(39) * 2)}')" for kind, values in CASES.items() for i, x in enumerate(values)]
+    return f"SELECT kind, n, replace(x, '|', chr(10)) AS x FROM (VALUES {', '.join(rows)}) AS t(kind, n, x)"
+
+
 VIEWS = {
+    "cases": (None, _cases()),
+    "chat_log": (
+        "conversations",
+        """SELECT concat('c', conv_id) AS session_id, conv_id % 7 AS project_id, turn AS seq, role AS type, CASE WHEN conv_id % 5 = 0 AND turn < 2 THEN concat('<system-reminder>', substr(text, 1, 20), '</system-reminder>') ELSE text END AS content,
+        concat('2024-01-', lpad(concat('', 1 + conv_id % 28), 2, '0'), 'T10:', lpad(concat('', turn), 2, '0'), ':00.000Z') AS ts_raw, conv_id % 50 AS tokens_in, turn AS tokens_out, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE concat('m', turn % 2) END AS model FROM conversations""",
+    ),
+    "chat_usage": (
+        "conversations",
+        """SELECT concat('c', conv_id) AS session_id, conv_id % 7 AS project_id, concat('u', turn % 3) AS model, conv_id % 11 AS input_tokens, turn AS output_tokens, 1 AS cache_creation_tokens, turn % 2 AS cache_read_tokens FROM conversations WHERE conv_id % 2 = 0""",
+    ),
+    "chat_calls": (
+        "conversations",
+        """SELECT concat('c', conv_id) AS session_id, conv_id % 7 AS project_id, turn AS id, CASE turn % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'skill' ELSE 'subagent' END AS family, concat('tool', turn % 2) AS tool, concat('skill', conv_id % 3) AS skill_name,
+        CASE WHEN turn % 2 = 0 THEN '' ELSE 'Explore' END AS subagent_type FROM conversations""",
+    ),
+    "people": ("token_usage", "SELECT DISTINCT user_id AS id, concat('user', user_id) AS name FROM token_usage WHERE user_id % 3 <> 0"),
+    "machines": ("token_usage", "SELECT DISTINCT host_id AS id, concat('Host-', host_id) AS name FROM token_usage"),
+    "workplaces": ("token_usage", "SELECT DISTINCT project_id AS id, concat('project', project_id) AS name FROM token_usage WHERE project_id <> 6"),
+    "session_meta": (
+        "token_usage",
+        """SELECT DISTINCT session_id, project_id, CASE user_id % 5 WHEN 0 THEN 'development' WHEN 1 THEN 'meeting' WHEN 2 THEN 'unheard' ELSE 'support' END AS classification, CASE user_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'secret' ELSE 'internal' END AS data_sensitivity,
+        {words:concat('a b c d e f g', user_id)} AS topics, {words:CASE WHEN user_id % 2 = 0 THEN 'Ann' ELSE 'Bob Eve' END} AS people, concat('model-', user_id % 4) AS model_used, concat(substr(ts_raw, 1, 10), 'T12:00:00') AS updated_at FROM token_usage WHERE user_id % 4 <> 0""",
+    ),
+    "agents": (
+        "token_usage",
+        """SELECT concat('s', user_id) AS session_id, user_id % 2 AS project_id, CASE WHEN user_id % 5 = 1 THEN concat('a', user_id) WHEN user_id % 5 = 2 THEN concat('a', user_id + 1) END AS agent_id, CASE WHEN user_id % 5 = 3 THEN concat('s', user_id - 2) END AS parent_session_id,
+        count(*) AS message_count, CAST(sum(input_tokens) AS BIGINT) AS total_tokens FROM token_usage GROUP BY user_id""",
+    ),
     "token_usage": (
         "events",
         f"""SELECT event_id AS id, concat('u', user_id, '-', substr({{iso:ts}}, 1, 10)) AS session_id, user_id % 7 AS project_id, user_id, user_id % 3 AS host_id, {{iso:ts}} AS ts_raw,
@@ -75,13 +133,7 @@ VIEWS = {
 
 
 def _rendered(sql: str, dialect: str) -> str:
-    out, i = [], 0
-    while (at := sql.find("{", i)) >= 0:
-        end = sql.index("}", at)
-        kind, arg = sql[at + 1 : end].split(":", 1)
-        out += [sql[i:at], DIALECTS[dialect][kind].format(arg)]
-        i = end + 1
-    return "".join(out) + sql[i:]
+    return re.sub(r"\{(iso|us|text|words):([^}]*)\}", lambda m: DIALECTS[dialect][m[1]].format(m[2]), sql)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
