@@ -22,6 +22,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Most labelled documents that are learned from, in all languages together (expected number: they are drawn by hash).
 SAMPLE = 3000
+#: Probability of its likeliest language below which a text is in none that was learned.
+LEAST_SCORE = 0.4
 #: Windows of each sampled document, evenly spaced.
 SAMPLE_WINDOWS = 4
 EPOCHS = 4
@@ -186,16 +188,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(id_remainder(doc_id, 3) == 1, F.lit(False))
 
 
-def in_a_language(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text has a letter, whatever its language and score; so too where
-    there was nothing to learn from."""
+def in_a_language(docs: DataFrame, net: ByteNet | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text the network puts in a learned language with a probability of
+    `least` at least; texts without a letter (null and empty ones too) go. Where there was nothing to learn from, all texts
+    with a letter stay. Repeated rows are judged alike; very long texts are read whole; an empty table gives no rows."""
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            stay = [any(map(str.isalpha, t or "")) for t in texts] if net is None else [lang != UNKNOWN for lang, _ in judge(net, texts)]
+            stay = [any(map(str.isalpha, t or "")) for t in texts] if net is None else [lang != UNKNOWN and p >= least for lang, p in judge(net, texts)]
             yield b.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
