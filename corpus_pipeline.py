@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, near-duplicates, benchmark decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; `run` writes
-each stage's rows as Parquet and reads them again for the next. All stages but the last return the columns of documents.
+each stage's rows as Parquet and reads them again for the next. All stages but the last return the columns of documents,
+whatever others there are beside doc_id, text, lang and source. Null texts have no letter and go in the first stage; an empty
+table gives no rows; repeated rows are near-duplicates, of which one stays.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; those without any letter go."""
+    """Documents that the network puts in a language that the labelled ones teach; others, and those without any letter, go."""
     return language.in_a_language(docs, language.fit(docs, ~language.held_out(F.col("doc_id"))))
 
 
@@ -51,7 +53,8 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: A byte network, SimHash groups and a tokenizer cannot be expressed in SQL; tests hold the stages against brute force.
+#: A byte network, SimHash groups and a tokenizer cannot be expressed in SQL; tests/llm/test_pipeline.py holds each stage
+#: against plain Python on its own input.
 ORACLE_SQL = None
 
 
