@@ -1,6 +1,6 @@
 """Interval algebra by windows: islands of activity, unions of intervals, concurrency.
 
-All work is partitioned by day (or whatever `by` names), so that many days run side by side."""
+All work is partitioned by day (or whatever `by` names) and, within it, by slices of time, so that a busy day is not one task's."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP_US, CAP_US = 300 * 1_000_000, 600 * 1_000_000
+#: Width of the slices of time in which a key's intervals are handled apart.
+SLICE_US = 600 * 1_000_000
 
 
 def islands(events: DataFrame, by: list[str], gap: int = GAP_US) -> DataFrame:
@@ -27,7 +29,13 @@ def reply_intervals(events: DataFrame, by: list[str], cap: int = CAP_US) -> Data
 
 
 def union(intervals: DataFrame, by: list[str]) -> DataFrame:
-    """Overlapping and touching intervals of a key merged."""
+    """Overlapping and touching intervals of a key merged. Those that start in one slice of time are merged first, so that
+    a key with very many intervals is not one task's; what is left of each slice is little."""
+    parts = _merged(intervals.withColumn("slice", F.floor(F.col("start_us") / SLICE_US)), [*by, "slice"])
+    return _merged(parts.drop("slice"), by)
+
+
+def _merged(intervals: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("start_us", "end_us")
     reach = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("start_us") <= F.col("reach"), 0).otherwise(1)
@@ -42,9 +50,13 @@ def seconds(intervals: DataFrame, by: list[str], name: str) -> DataFrame:
 def concurrency(intervals: DataFrame, by: list[str]) -> DataFrame:
     """The curve of open intervals: us, delta and how many are open after it; starts come before ends at the same time."""
     edges = F.explode(F.array(F.struct(F.col("start_us").alias("us"), F.lit(1).alias("delta")), F.struct(F.col("end_us").alias("us"), F.lit(-1).alias("delta"))))
-    steps = intervals.select(*by, edges.alias("e")).select(*by, "e.us", "e.delta").groupBy(*by, "us", "delta").agg(F.sum("delta").alias("change"))
-    w = Window.partitionBy(*by).orderBy("us", F.desc("delta")).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("open", F.sum("change").over(w))
+    steps = intervals.select(*by, edges.alias("e")).select(*by, "e.us", "e.delta").groupBy(*by, "us", "delta").agg(F.sum("delta").alias("change")).withColumn("slice", F.floor(F.col("us") / SLICE_US))
+    # what is open when a slice of time begins, from the sums of the slices before it
+    slices = steps.groupBy(*by, "slice").agg(F.sum("change").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    w = Window.partitionBy(*by, "slice").orderBy("us", F.desc("delta")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = steps.join(slices.withColumn("before", before).drop("total"), [*by, "slice"])
+    return joined.withColumn("open", F.col("before") + F.sum("change").over(w)).drop("slice", "before")
 
 
 def peak(intervals: DataFrame, by: list[str]) -> DataFrame:

@@ -41,9 +41,20 @@ def seed(prices: DataFrame, defaults: DataFrame) -> DataFrame:
     return prices.unionByName(defaults.join(prices.select("model").distinct(), "model", "left_anti").select(prices.columns))
 
 
+def conflicts(prices: DataFrame, change: DataFrame) -> DataFrame:
+    """Rows of `change` whose range overlaps a price of its model that they neither end (an open earlier one) nor replace
+    (one of the same from_date)."""
+    p = prices.select("model", F.col("from_date").alias("p_from"), F.col("to_date").alias("p_to"))
+    ended = F.col("p_to").isNull() & (F.col("p_from") < F.col("from_date"))
+    apart = (F.col("p_to") <= F.col("from_date")) | (F.col("to_date") <= F.col("p_from"))
+    bad = (F.col("p_from") != F.col("from_date")) & ~ended & ~F.coalesce(apart, F.lit(False))
+    return change.join(p, "model").filter(bad).select("model", "from_date").distinct()
+
+
 def upsert(prices: DataFrame, change: DataFrame) -> DataFrame:
     """`change` (one row for a model: its new price from from_date on) ends the open earlier row, and replaces one of the
-    same from_date."""
+    same from_date. Rows that would overlap others (see `conflicts`) are left out."""
+    change = change.join(conflicts(prices, change), ["model", "from_date"], "left_anti")
     new = change.select(F.col("model").alias("c_model"), F.col("from_date").alias("c_from"))
     kept = prices.join(new, F.col("model") == F.col("c_model"), "left").filter(F.col("c_from").isNull() | (F.col("from_date") != F.col("c_from")))
     ends = F.col("c_from").isNotNull() & F.col("to_date").isNull() & (F.col("from_date") < F.col("c_from"))

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+def _folds() -> tuple[str, str]:
+    """Lower-case Latin letters with diacritics, and the letters that they stand on."""
+    letters = [chr(c) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block]
+    pairs = [(x, unicodedata.normalize("NFD", x)[0]) for x in letters if x == x.lower() and len(unicodedata.normalize("NFD", x)) > 1]
+    return "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
+
+
+_FOLD = _folds()
 
 
 def tokens(text: Column) -> Column:
@@ -21,6 +29,10 @@ def _fold(word: str) -> str:
     return word.lower().translate(str.maketrans(*_FOLD))
 
 
+def _any_begins(words: Column, prefix: str) -> Column:
+    return F.exists(words, lambda t: F.startswith(t, F.lit(prefix)))
+
+
 def matches(words: Column, query: str) -> Column:
     """Terms are joined by AND unless OR or NOT stands between them; `"a phrase"` and `prefix*` are terms, too."""
     parts = re.findall(r'"([^"]*)"|(\S+)', query)
@@ -33,7 +45,7 @@ def matches(words: Column, query: str) -> Column:
         if not items:
             continue
         if word.endswith("*"):
-            term = F.exists(words, lambda t, p=items[0]: F.startswith(t, F.lit(p)))
+            term = _any_begins(words, items[0])
         elif len(items) == 1:
             term = F.array_contains(words, items[0])
         else:

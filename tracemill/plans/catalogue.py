@@ -141,8 +141,8 @@ _HALVES = """, calls AS (SELECT *, concat('t', CAST(floor(id / 4) AS BIGINT)) AS
 
 
 def _asof(t: Tables) -> DataFrame:
-    rows = t("activity").select(F.col("id").alias("event_id"), F.col("project_id").alias("user_id"), "session_id", "us", "type")
-    return graph.nearest_before(rows, rows.filter("type = 'assistant'").withColumnRenamed("event_id", "call_id"))
+    rows = t("activity").select(F.col("id").alias("event_id"), "project_id", "session_id", "us", "type")
+    return graph.nearest_before(rows, rows.filter("type = 'assistant'").withColumnRenamed("event_id", "call_id"), key="project_id")
 
 
 _FTS = r", words AS (SELECT *, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(content, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM messages) "
