@@ -194,7 +194,6 @@ SELECT CASE WHEN place > 15 THEN 'other' ELSE cmd_type END AS cmd_type, CAST(sum
 top AS (SELECT cmd_name, count(*) AS errors, max(ts_raw) AS last_error_at, struct_extract(max(struct_pack(t := ts_raw, i := id, x := error_text)), 'x') AS sample FROM failed GROUP BY 1 ORDER BY errors DESC, last_error_at DESC, cmd_name LIMIT 20),
 codes AS (SELECT cmd_name, exit_code AS top_exit_code, count(*) AS top_exit_count FROM failed WHERE exit_code IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cmd_name ORDER BY count(*) DESC, exit_code) = 1)
 SELECT cmd_name, errors, last_error_at, sample, top_exit_code, top_exit_count FROM top LEFT JOIN codes USING (cmd_name)"""),
-    Report("rep_bash_like_ladder", lambda t: reports.counted(_of(t, "bash").select(reports.command_ladder(F.col("command")).alias("cmd_type")), "cmd_type"), CALLS, f"SELECT CASE WHEN starts_with(command, 'cd ') THEN 'cd' ELSE 'other' END AS cmd_type, {_COUNT} FROM tool_calls WHERE family = 'bash' GROUP BY 1"),
     Report("rep_search_top_patterns", lambda t: _top(reports.counted(_of(t, "search").filter(_some("pattern")), "pattern"), 20, "pattern"), CALLS, _counted("search", "pattern", where="pattern <> ''", limit=20)),
     Report("rep_search_top_paths", lambda t: _top(reports.counted(_of(t, "search").filter(_some("path")), "path"), 15, "path"), CALLS, _counted("search", "path", where="path <> ''", limit=15)),
     Report("rep_tools_overview", lambda t: reports.tools_overview(t("tool_calls")), CALLS, f', by_family AS (SELECT family, {_COUNT}, {_OUTCOME}, {_NEVER} FROM tool_calls GROUP BY 1) SELECT *, round(measured / "count", 4) AS measured_coverage, {_REAL} FROM by_family'),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, sessions_catalogue
+from . import catalogue, operator_catalogue, sessions_catalogue
 
-QUERIES = {**catalogue.QUERIES, **sessions_catalogue.QUERIES}
-ORACLE_SQL = {**catalogue.ORACLE_SQL, **sessions_catalogue.ORACLE_SQL}
+QUERIES = {**catalogue.QUERIES, **sessions_catalogue.QUERIES, **operator_catalogue.QUERIES}
+ORACLE_SQL = {**catalogue.ORACLE_SQL, **sessions_catalogue.ORACLE_SQL, **operator_catalogue.ORACLE_SQL}
