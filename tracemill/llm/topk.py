@@ -34,10 +34,13 @@ TOGETHER = 64
 
 @dataclass
 class Lists:
-    """For each dimension the positions and values of all candidates by ascending value; ids and squared lengths."""
+    """For each dimension the positions and values of all candidates by ascending value, and each candidate's place there;
+    the vectors, ids and squared lengths."""
 
     at: np.ndarray
     value: np.ndarray
+    place: np.ndarray
+    vectors: np.ndarray
     ids: np.ndarray
     squares: np.ndarray
 
@@ -45,43 +48,44 @@ class Lists:
     def of(cls, ids: np.ndarray, vectors: np.ndarray) -> Lists:
         columns = np.ascontiguousarray(vectors.T)
         at = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
-        return cls(at, np.take_along_axis(columns, at, 1), ids, (vectors.astype(float) ** 2).sum(1))
+        place = np.empty(vectors.shape, np.int32)
+        place[at, np.arange(len(at))[:, None]] = np.arange(len(vectors))
+        return cls(at, np.take_along_axis(columns, at, 1), place, vectors, ids, (vectors.astype(float) ** 2).sum(1))
 
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """For each query (they read in step) positions and scores of the k best candidates of other ids, ties to the
-        smaller id, and the entries read."""
+        smaller id, and the entries read.
+
+        The entries that all lists have shown down to a depth are those whose place is within it, so that what is known of
+        the candidates is a sum over just these; entries that were not read have no part in it."""
         n, m = len(self.ids), len(queries)
-        sides = queries > 0, queries < 0
-        squares = queries.astype(float) ** 2
-        whole, lists = squares.sum(1), np.count_nonzero(queries, axis=1)
-        partial, met = np.zeros((n, m), self.value.dtype), np.zeros((n, m), np.int16)
-        unread, weight = np.repeat(self.squares[:, None], m, 1), np.repeat(whole[None], n, 0)
+        up, down = np.where(queries > 0, queries, 0).T, np.where(queries < 0, queries, 0).T
+        sides = [(w, (w != 0).astype(np.float32), (w.astype(np.float32)) ** 2) for w in (up, down)]
+        whole, lists = (queries.astype(float) ** 2).sum(1), np.count_nonzero(queries, axis=1)
         alive = self.ids[:, None] != query_ids[None]
+        partial = np.zeros((n, m), self.value.dtype)
+        # squares are summed in single precision: their bounds get as much room
         slack = 0.5 + 1e-9 * np.sqrt(whole * self.squares.max(initial=0))
-        depth, dims, busy = 0, np.flatnonzero(queries.any(0)).tolist(), np.ones(m, bool)
-        read = np.zeros(m, np.int64)
+        depth, busy, read = 0, lists > 0, np.zeros(m, np.int64)
         while depth < n and busy.any():
-            stop = min(n, max(depth + depth // 2, 64, n // 8))
-            outsiders = np.zeros(m)
-            for d in dims:
-                for side, sign in zip(sides, (1, -1), strict=True):
-                    mine = side[:, d]
-                    if not mine.any():
-                        continue
-                    at, value, last = self._entries(d, sign, depth, stop)
-                    w = np.where(mine, queries[:, d], 0)
-                    partial[at] += value[:, None] * w
-                    unread[at] -= np.square(value, dtype=float)[:, None] * mine
-                    weight[at] -= np.where(mine, squares[:, d], 0)
-                    met[at] += mine
-                    outsiders += w * float(last)
-            read += (stop - depth) * lists * busy
-            depth = stop
-            rest = np.where(met == lists, 0.0, np.sqrt(np.maximum(unread, 0) * np.maximum(weight, 0)))
+            read += (min(n, max(2 * depth, 64, n // 8)) - depth) * lists * busy
+            depth = min(n, max(2 * depth, 64, n // 8))
+            partial[:] = 0
+            unread, weight = np.repeat(self.squares[:, None], m, 1), np.repeat(whole[None], n, 0)
+            met, outsiders = np.zeros((n, m), np.float32), np.zeros(m)
+            for (w, on, square), shown, last in zip(sides, (self.place >= n - depth, self.place < depth), (self.value[:, n - depth], self.value[:, depth - 1]), strict=True):
+                x = np.where(shown, self.vectors, 0)
+                partial += x @ w
+                unread -= np.square(x, dtype=np.float32) @ on
+                weight -= shown.astype(np.float32) @ square
+                met += shown.astype(np.float32) @ on
+                outsiders += (w * last[:, None]).sum(0)
+            unread, weight = np.maximum(unread, 0) + 1e-5 * self.squares[:, None], np.maximum(weight, 0) + 1e-5 * whole
+            rest = np.where(met >= lists, 0.0, np.sqrt(unread * weight))
             low = np.where(alive, partial - rest, -np.inf)
             floor = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(m, -np.inf)
-            up = np.where(met > 0, partial + rest, np.minimum(rest, outsiders))
-            alive &= up >= floor - slack
+            most = np.where(met > 0, partial + rest, np.minimum(rest, outsiders))
+            alive &= most >= floor - slack
             busy &= (alive.sum(0) > FEW * k) & (alive & (met < lists)).any(0)
         return [self._finish(queries[i], alive[:, i], partial[:, i].copy(), depth, k, int(read[i])) for i in range(m)]
 
