@@ -329,19 +329,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     # a short text is a single window that only equals another short text's
     keys = ["doc_id", "row", "item_id", "item"]
     hits = found.join(theirs, "hash").withColumn("offset", F.col("position") - F.col("item_position")).withColumn("changed", F.col("item_slots") != F.col("slots"))
-    literal = hits.filter(~F.col("changed")).groupBy(*keys).agg(F.collect_set("item_position").alias("literal"), F.max("item_windows").alias("item_windows"))
     # an occurrence spans as many offsets as the item has windows; one of two grids of twice that width holds it whole. Only
     # grid cells with a changed window need a look; a cell holds a number of windows that the item bounds
     grid = lambda shift: F.floor((F.col("offset") + shift * F.col("item_windows")) / (2 * F.col("item_windows")))
     cells = hits.select("*", F.explode(F.array(F.struct(F.lit(0).alias("grid"), grid(0).alias("cell")), F.struct(F.lit(1).alias("grid"), grid(1).alias("cell")))).alias("at"))
     window_of = F.struct("item_position", "offset", "item_slots", "slots")
-    one = cells.groupBy(*keys, "at").agg(F.collect_set(window_of).alias("found"), F.max("item_windows").alias("item_windows"), F.bool_or("changed").alias("changed")).filter("changed")
+    # the texts are read once: what was found is small, and both uses of it start from there
+    one = checkpointed(cells.groupBy(*keys, "at").agg(F.collect_set(window_of).alias("found"), F.max("item_windows").alias("item_windows"), F.bool_or("changed").alias("changed")))
     kinds = [f"{name} {dict(one.dtypes)[name]}" for name in (*keys, "item_windows")]
-    settled = one.select(*keys, "item_windows", "found").mapInArrow(_settle, ", ".join([*kinds, "positions array<long>", "own boolean"]))
+    settled = one.filter("changed").select(*keys, "item_windows", "found").mapInArrow(_settle, ", ".join([*kinds, "positions array<long>", "own boolean"]))
     changed = settled.select(*keys, "item_windows", F.lit(None).cast("array<long>").alias("literal"), "positions", "own")
-    parts = literal.select(*keys, "item_windows", "literal", F.lit(None).cast("array<long>").alias("positions"), F.lit(True).alias("own")).unionByName(changed)
+    literal = F.transform(F.filter("found", lambda w: w["item_slots"] == w["slots"]), lambda w: w["item_position"])
+    parts = one.select(*keys, "item_windows", literal.alias("literal"), F.lit(None).cast("array<long>").alias("positions"), F.lit(True).alias("own")).unionByName(changed)
     # the best occurrence of a pair adds to what is literal anywhere in the text
-    both = parts.groupBy(*keys).agg(F.max("item_windows").alias("item_windows"), F.flatten(F.collect_list("literal")).alias("literal"), F.collect_list(F.struct("positions", "own")).alias("cells"))
+    both = parts.groupBy(*keys).agg(F.max("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_list("literal"))).alias("literal"), F.collect_list(F.struct("positions", "own")).alias("cells"))
     total = F.transform(F.filter("cells", lambda c: c["positions"].isNotNull()), lambda c: F.struct(F.size(F.array_union("literal", c["positions"])).alias("matched"), F.when(c["own"], 1).otherwise(0).alias("own")))
     most = F.coalesce(F.array_max(total), F.struct(F.size("literal").alias("matched"), F.lit(1).alias("own")))
     best = both.select(*keys, "item_windows", most.alias("most")).select(*keys, "item_windows", "most.matched", "most.own")
