@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, mixlm, quality, simhash, tokens, topk, urls
+from . import bpe, chat, decontaminate, language, mixing, mixlm, quality, simhash, tokens, topk, urls
 from .common import table
 
 
@@ -100,5 +100,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).drop("shards")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_exact_topk, op4_url_filters, op5_token_output, op6_lm_scoring, op7_benchmark_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_source_mixing)}
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_exact_topk, op4_url_filters, op5_token_output, op6_lm_scoring, op7_benchmark_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_source_mixing, op12_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_url_filters": _op4_sql()}
