@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, mixing, mixlm, quality, simhash, tokens, topk, urls
+from . import bpe, chat, decontaminate, language, mixing, mixlm, quality, simhash, tokens, topk, trie, urls
 from .common import table
 
 
@@ -100,11 +100,36 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).drop("shards")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII string, bit by bit."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, CAST(i AS INTEGER), 1)) AS BIGINT))"
+    byte = "list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda k, z: xor(k >> 1, 3988292384 * (k & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, x: {byte}), 4294967295)"
+
+
+#: Prefixes spelt out as digests of their turns; a subtree is all prefixes that begin with its top's.
+_OP11_SQL = f"""
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+both_ AS (SELECT c.conv_id, 0 AS own, o.n, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.n <= c.h UNION ALL SELECT c.conv_id, 1, o.n, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.n > c.h),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, n) AS depth, sha256(role || chr(10) || sha256(text)) AS label, strlen(text) AS bytes FROM both_),
+paths AS (SELECT conv_id, depth, string_agg(label, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, bytes FROM turns UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+sizes AS (SELECT conv_id, max(depth) AS size FROM paths GROUP BY 1),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth) AS ends FROM paths JOIN sizes USING (conv_id) GROUP BY 1, 2),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND starts_with(c.path, n.path)) AS n_children FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND starts_with(n.path, p.path)),
+sums AS (SELECT t.path, t.depth, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.bytes) AS BIGINT) AS saved_tokens FROM linked t JOIN linked b ON b.depth >= t.depth AND starts_with(b.path, t.path) GROUP BY 1, 2)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM linked JOIN sums USING (path, depth)"""
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_exact_topk, op4_url_filters, op5_token_output, op6_lm_scoring, op7_benchmark_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_source_mixing, op12_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_url_filters": _op4_sql()}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_exact_topk, op4_url_filters, op5_token_output, op6_lm_scoring, op7_benchmark_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_source_mixing, op11_conversation_trie, op12_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_url_filters": _op4_sql(), "op11_conversation_trie": _OP11_SQL}
