@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, mixing, mixlm, quality, simhash, tokens, topk, trie, urls
+from . import bpe, chat, decontaminate, language, mixing, mixlm, quality, repair, simhash, tokens, topk, trie, urls
 from .common import table
 
 
@@ -131,5 +131,42 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_exact_topk, op4_url_filters, op5_token_output, op6_lm_scoring, op7_benchmark_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_source_mixing, op11_conversation_trie, op12_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_url_filters": _op4_sql(), "op11_conversation_trie": _OP11_SQL}
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def _op13_sql() -> str:
+    """The same grammar walked over whole conversations, with the repaired text carried along."""
+    moves = ", ".join(f"('{s}', '{i}', '{letters}', '{n}', {c}, {k})" for s, i, letters, n, c, k in repair.moves())
+    white = "".join(f"chr({ord(c)})" if i == 0 else f" || chr({ord(c)})" for i, c in enumerate(repair.SPACE))
+    user = "CASE WHEN {0} IN ('0', 'S', 'A') THEN 'user' ELSE 'assistant' END"
+    inserted = "CASE length(m.letters) WHEN 1 THEN '' WHEN 2 THEN x.made || ':' || chr(10) ELSE x.made || ':' || chr(10) || x.other || ':' || chr(10) END"
+    last = "CASE WHEN length(m.letters) = 2 THEN x.other ELSE x.made END"
+    return f"""
+WITH RECURSIVE base AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+kinds AS (SELECT *, {_crc32_sql("concat(c, ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM base),
+hurt AS (SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds, (VALUES (0), (1)) AS copies(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) AS nth, left(role, 1) AS initial, rtrim(text, {white}) AS trimmed FROM hurt),
+faulty AS (SELECT *, CASE WHEN trimmed = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY c ORDER BY n) AS before FROM numbered),
+moves(state, initial, letters, next, cost, keeps) AS (VALUES {moves}),
+step AS (
+  SELECT c, '0' AS state, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS repaired FROM (SELECT DISTINCT c FROM faulty)
+  UNION ALL
+  SELECT c, state, n, best.cost, best.audit, best.repaired FROM (
+    SELECT p.c, m.next AS state, t.n, min(struct_pack(cost := p.cost + m.cost + CASE WHEN m.keeps AND t.fault = 3 THEN 5 ELSE 0 END, audit := p.audit || m.letters,
+      repaired := p.repaired || {inserted} || CASE WHEN NOT m.keeps THEN '' WHEN right(m.letters, 1) = 'K' THEN t.role || ':' || t.text || chr(10) ELSE {last} || ':' || t.text || chr(10) END)) AS best
+    FROM (SELECT *, {user.format("state")} AS made, CASE WHEN state = 'U' THEN 'user' ELSE 'assistant' END AS other FROM step) p JOIN faulty t ON t.c = p.c AND t.n = p.n + 1
+      JOIN moves m ON m.state = p.state AND m.initial = CASE WHEN t.initial IN ('s', 'u', 'a') THEN t.initial ELSE '' END, LATERAL (SELECT p.made, p.other) x
+    WHERE NOT (m.keeps AND t.fault IN (1, 2)) GROUP BY p.c, m.next, t.n)),
+ended AS (SELECT c, min(struct_pack(cost := cost + CASE state WHEN 'U' THEN 5 WHEN 'S' THEN 10 ELSE 0 END, audit := audit || CASE state WHEN 'U' THEN 'I' WHEN 'S' THEN 'II' ELSE '' END,
+  repaired := repaired || CASE state WHEN 'U' THEN 'assistant:' || chr(10) WHEN 'S' THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE '' END)) AS best
+  FROM step JOIN (SELECT c, max(n) AS size FROM faulty GROUP BY 1) USING (c) WHERE n = size GROUP BY 1),
+counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY 1)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(CASE WHEN best.repaired = '' THEN '' ELSE left(best.repaired, length(best.repaired) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM base) o LEFT JOIN counts USING (c) LEFT JOIN ended USING (c)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_chat_format, op3_exact_topk, op4_url_filters, op5_token_output, op6_lm_scoring, op7_benchmark_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_source_mixing, op11_conversation_trie, op12_byte_bpe, op13_structure_repair)}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": _op2_sql(), "op3_exact_topk": _OP3_SQL, "op4_url_filters": _op4_sql(), "op11_conversation_trie": _OP11_SQL, "op13_structure_repair": _op13_sql()}
