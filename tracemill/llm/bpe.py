@@ -1,12 +1,13 @@
 """Byte-level BPE as a finite-state transducer that is determinised as texts ask for it, and decoding by a UTF-8 machine.
 
-Encoding. The ranks of a vocabulary define which bytes merge. Three facts turn them into a transducer that reads each byte
+Encoding. The ranks of a vocabulary define which bytes merge. Four facts turn them into a transducer that reads each byte
 once. (1) The tokens of a prefix of a piece are those of a shorter prefix and one last token; which one is decided by
 whether it stands beside the token before it, that is, whether merging the bytes of both gives just these two. (2) What
 comes later can only join bytes from a *live* boundary on: one after which all bytes read so far begin some token. (3)
-Tokens before the last boundary that lies on the paths of all live boundaries are final and are emitted. A state is
-therefore the last emitted token and the few bytes behind it; its moves are worked out from the merges when first taken and
-kept. Lookahead is bounded by the vocabulary, not by the piece, so a piece of a million letters takes linear time.
+The last boundary that lies on the paths of all live boundaries is final: tokens before it are emitted. (4) No merge crosses a
+final boundary, so what follows merges as if the piece began there. A state is therefore the few bytes behind the last
+final boundary; its moves are worked out from the merges when first taken and kept. Lookahead is bounded by the
+vocabulary, not by the piece, so a piece of a million letters takes linear time.
 
 Decoding. Tokens may end within a character. A state is the bytes of a character that has begun; reading a token in a state
 gives text and the next state, worked out byte by byte when first met. Texts come out as tokens come in.
@@ -15,7 +16,6 @@ gives text and the next state, worked out byte by byte when first met. Texts com
 from __future__ import annotations
 
 import base64
-import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -27,9 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: States, and distinct pieces of text whose ids are remembered, that a worker keeps before it starts anew.
-STATES_KEPT = 1_000_000
-PIECES_KEPT = 1_000_000
+#: Moves of the transducer that a worker keeps before it starts anew, and pieces of text whose ids it remembers.
+MOVES_KEPT = 300_000
+PIECES_KEPT = 300_000
 #: Rows that are worked on at once.
 ROWS = 256
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
@@ -42,41 +42,42 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class State(dict):
-    """Moves by byte: (next state, ids emitted as little-endian 32-bit numbers)."""
-
-    __slots__ = ("machine", "left", "open", "rest")
-
-    def __init__(self, machine: Transducer, left: bytes | None, open_: bytes, rest: bytes):
-        super().__init__()
-        self.machine, self.left, self.open, self.rest = machine, left, open_, rest
-
-    def __missing__(self, byte: int) -> tuple[State, bytes]:
-        move = self[byte] = self.machine.move(self, byte)
-        return move
-
-
 class Transducer:
-    """Encodes one piece of bytes at a time; every single byte must be a token."""
+    """Encodes one piece of bytes at a time; every single byte must be a token. A state is numbered; it stands for the bytes
+    behind the last boundary that is final, and for each boundary in them the last token before it (none where the path does
+    not come from that final boundary)."""
 
-    def __init__(self, vocabulary: dict[bytes, int], states_kept: int = STATES_KEPT):
+    def __init__(self, vocabulary: dict[bytes, int], moves_kept: int = MOVES_KEPT):
         self.ids = vocabulary
         self.begins = {token[:n] for token in vocabulary for n in range(1, len(token) + 1)}
         self.beside: dict[tuple[bytes | None, bytes], bool] = {}
-        self.states_kept = states_kept
+        self.moves_kept = moves_kept
         self._restart()
 
     def _restart(self) -> None:
-        self.states: dict[tuple[bytes | None, bytes], State] = {}
-        self.start = self._state(None, b"", b"")
+        self.states: list[tuple[tuple[bytes | None, ...], bytes]] = []
+        self.numbers: dict[bytes, int] = {}
+        self.moves: dict[int, int] = {}  # by state and byte
+        self.emits: dict[int, bytes] = {}  # likewise, where a move emits: ids as little-endian 32-bit numbers
+        self.rests: dict[int, bytes] = {}  # what a state emits if the piece ends in it
+        self._state((None,), b"")
+
+    def _state(self, lasts: tuple[bytes | None, ...], open_: bytes) -> int:
+        number = self.numbers.get(open_)
+        if number is None:
+            number = self.numbers[open_] = len(self.states)
+            self.states.append((lasts, open_))
+        return number
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges as they are defined: the pair of lowest rank first, of equal ones the leftmost."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            rank, at = min((self.ids.get(a + b, sys.maxsize), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))  # noqa: B905
+            pairs = [self.ids.get(a + b, sys.maxsize) for a, b in zip(parts, parts[1:])]  # noqa: B905
+            rank = min(pairs)
             if rank == sys.maxsize:
                 break
+            at = pairs.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
@@ -84,60 +85,68 @@ class Transducer:
         key = (left, token)
         known = self.beside.get(key)
         if known is None:
-            if len(self.beside) >= self.states_kept:
+            if len(self.beside) >= self.moves_kept:
                 self.beside.clear()
             known = self.beside[key] = self.merged((left or b"") + token) == ([token] if left is None else [left, token])
         return known
 
-    def _lasts(self, left: bytes | None, data: bytes) -> list[bytes | None]:
-        """For each boundary of `data` the last token before it; None where the path does not start at `left`."""
-        lasts: list[bytes | None] = [left]
-        for end in range(1, len(data) + 1):
-            found = None
-            for begin in range(end):
-                token = data[begin:end]
-                if token in self.ids and (begin == 0 or lasts[begin] is not None) and self._stands(lasts[begin], token):
-                    found = token
-                    break
-            lasts.append(found)
-        return lasts
-
-    def _path(self, lasts: list[bytes | None], end: int) -> list[int]:
-        """The boundaries from `end` back to 0."""
-        path = [end]
+    def _emitted(self, lasts: tuple[bytes | None, ...], end: int) -> bytes:
+        tokens = []
         while end:
+            tokens.append(lasts[end])
             end -= len(lasts[end])
-            path.append(end)
-        return path
-
-    def _emitted(self, lasts: list[bytes | None], end: int) -> bytes:
-        tokens = [lasts[b] for b in reversed(self._path(lasts, end)) if b]
-        return b"".join(self.ids[t].to_bytes(4, "little") for t in tokens)
-
-    def _state(self, left: bytes | None, open_: bytes, rest: bytes) -> State:
-        key = (left, open_)
-        if key not in self.states:
-            self.states[key] = State(self, left, open_, rest)
-        return self.states[key]
-
-    def move(self, state: State, byte: int) -> tuple[State, bytes]:
-        data = state.open + bytes([byte])
-        lasts = self._lasts(state.left, data)
-        live = [b for b in range(len(data) + 1) if (b == len(data) or data[b:] in self.begins) and (b == 0 or lasts[b] is not None)]
-        cut = max(set.intersection(*(set(self._path(lasts, b)) for b in live)))
-        left, rest = (lasts[cut] if cut else state.left), data[cut:]
-        behind = self._lasts(left, rest)
-        return self._state(left, rest, self._emitted(behind, len(rest))), self._emitted(lasts, cut)
+        return b"".join([self.ids[t].to_bytes(4, "little") for t in reversed(tokens)])
+
+    def _move(self, key: int) -> int:
+        lasts, open_ = self.states[key >> 8]
+        data = open_ + bytes((key & 255,))
+        end = len(data)
+        for begin in range(end):
+            token = data[begin:]
+            if token in self.ids and (not begin or lasts[begin] is not None) and self._stands(lasts[begin], token):
+                lasts = (*lasts, token)
+                break
+        # the last boundary on the paths of all live ones
+        cut = end
+        for live in range(end - 1, -1, -1):
+            if data[live:] in self.begins and (not live or lasts[live] is not None):
+                while cut != live:
+                    if cut > live:
+                        cut -= len(lasts[cut])
+                    else:
+                        live -= len(lasts[live])
+        if cut:
+            self.emits[key] = self._emitted(lasts, cut)
+            kept: list[bytes | None] = [None]
+            for b in range(cut + 1, end + 1):
+                begin = -1 if lasts[b] is None else b - len(lasts[b]) - cut
+                kept.append(lasts[b] if begin == 0 or (begin > 0 and kept[begin] is not None) else None)
+            lasts, data = tuple(kept), data[cut:]
+        self.moves[key] = number = self._state(lasts, data)
+        return number
+
+    def steps(self, piece: bytes) -> Iterator[tuple[int, bytes]]:
+        """The state after each byte, and what is emitted on the way to it."""
+        state = 0
+        for byte in piece:
+            key = state << 8 | byte
+            state = self.moves.get(key, -1)
+            if state < 0:
+                state = self._move(key)
+            yield state, self.emits.get(key, b"")
 
     def __call__(self, piece: bytes) -> bytes:
-        if len(self.states) >= self.states_kept:
+        if len(self.moves) >= self.moves_kept:
             self._restart()
-        state, out = self.start, []
-        for byte in piece:
-            state, emitted = state[byte]
+        state, out = 0, []
+        for state, emitted in self.steps(piece):
             if emitted:
                 out.append(emitted)
-        out.append(state.rest)
+        rest = self.rests.get(state)
+        if rest is None:
+            lasts, open_ = self.states[state]
+            rest = self.rests[state] = self._emitted(lasts, len(open_))
+        out.append(rest)
         return b"".join(out)
 
 
@@ -147,10 +156,7 @@ class Splitter:
 
     def __init__(self, pattern: str):
         self.pattern, self.find = pattern, regex.compile(pattern)
-        unknown = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-        ends = [i for i, c in enumerate(unknown) if i + 1 == len(unknown) or unknown[i + 1] != c + 1]
-        spans = zip([0, *[e + 1 for e in ends[:-1]]], ends, strict=True)
-        self.unknown = re.compile("[" + "".join(f"\\U{unknown[a]:08x}-\\U{unknown[z]:08x}" for a, z in spans) + "]")
+        self.known: set[str] = set()  # characters that were met and are in Python's tables
         self.likes: dict[str, str] = {}
         self.probe = None
 
@@ -171,10 +177,14 @@ class Splitter:
         return self.likes[char]
 
     def __call__(self, text: str) -> list[str]:
-        if text.isascii() or not self.unknown.search(text):
-            return self.find.findall(text)
-        stand_in = self.unknown.sub(lambda m: self._like(m[0]), text)
-        return [text[m.start() : m.end()] for m in self.find.finditer(stand_in)]
+        if not text.isascii():
+            new = set(text) - self.known
+            unknown = {c for c in new if unicodedata.category(c) == "Cn"}
+            self.known |= new - unknown
+            if unknown:
+                stand_in = text.translate({ord(c): self._like(c) for c in unknown})
+                return [text[m.start() : m.end()] for m in self.find.finditer(stand_in)]
+        return self.find.findall(text)
 
 
 class Encoder(dict):
@@ -184,17 +194,21 @@ class Encoder(dict):
     def __init__(self, vocabulary: dict[bytes, int], pattern: str):
         super().__init__()
         self.ids, self.split, self.transducer = vocabulary, Splitter(pattern), Transducer(vocabulary)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        known = self.ids.get(data)
-        out = self.transducer(data) if known is None else known.to_bytes(4, "little")
+        out = self.older.get(piece)
+        if out is None:
+            data = piece.encode()
+            known = self.ids.get(data)
+            out = self.transducer(data) if known is None else known.to_bytes(4, "little")
         if len(piece) <= 64:
             self[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
-        if len(self) > PIECES_KEPT:
+        if len(self) > PIECES_KEPT:  # what is used often comes back from the older half
+            self.older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, self.split(text)))
 

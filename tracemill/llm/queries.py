@@ -146,8 +146,8 @@ def _op13_sql() -> str:
 WITH RECURSIVE base AS (SELECT coalesce(CAST(conv_id AS VARCHAR), ' ') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
 kinds AS (SELECT *, {_crc32_sql("concat(c, ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM base),
 hurt AS (SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds, (VALUES (0), (1)) AS copies(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) AS nth, left(role, 1) AS initial, rtrim(text, {white}) AS trimmed FROM hurt),
-faulty AS (SELECT *, CASE WHEN trimmed = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY c ORDER BY n) AS before FROM numbered),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS n, left(role, 1) AS initial, rtrim(text, {white}) AS trimmed FROM hurt),
+faulty AS (SELECT *, CASE WHEN trimmed = '' THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 THEN 2 WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(initial) OVER (PARTITION BY c ORDER BY n) AS before FROM numbered),
 moves(state, initial, letters, next, cost, keeps) AS (VALUES {moves}),
 step AS (
   SELECT c, '0' AS state, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS repaired FROM (SELECT DISTINCT c FROM faulty)

@@ -139,7 +139,7 @@ def solved(turns: DataFrame) -> DataFrame:
         segs = pa.table({"seg": np.arange(len(begins)), "size": sizes, "first": seg[begins] == 0})  # noqa: F841
         con.register("turns", turns)
         con.register("segs", segs)
-        out = con.execute(SOLVE).to_arrow_table()
+        out = con.sql(SOLVE).to_arrow_table()
         con.unregister("turns")
         con.unregister("segs")
         at = out.column("seg").to_numpy()
