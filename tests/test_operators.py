@@ -76,3 +76,15 @@ def test_windows_over_a_stream_with_late_rows(spark, tmp_path):
     assert windows == {"00:00": 2, "01:00": 1, "02:00": 1, "05:00": 1}
     islands = sorted((str(r.start)[11:16], str(r.end)[11:16], r.events) for r in spark.read.parquet(str(tmp_path / "sessions")).collect())
     assert islands == [("00:10", "00:20", 2), ("01:50", "01:50", 1), ("02:30", "02:30", 1), ("05:00", "05:00", 1)]
+
+
+def test_replies_in_one_long_session_take_linear_time(spark):
+    """200,000 events of one session; a frame that is evaluated anew for each row would take hours."""
+    import time
+
+    events = spark.range(200_000).selectExpr("'d' AS day", "'s' AS session_id", "id", "id * 1000000 AS us", "CASE WHEN id % 1000 = 999 THEN 'assistant' ELSE 'user' END AS type")
+    start = time.perf_counter()
+    rows = intervals.reply_intervals(events, ["day", "session_id"], cap=10**12)
+    total = rows.agg(F.count("*"), F.sum(F.col("end_us") - F.col("start_us"))).first()
+    assert total[0] == 199_800 and total[1] == 200 * sum(range(1, 1000)) * 1_000_000
+    assert time.perf_counter() - start < 60

@@ -29,7 +29,7 @@ def test_session_log(spark, tmp_path):
 
 
 def test_rollout(spark, tmp_path):
-    total = lambda i, c, o: {"timestamp": "t", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o}}}}
+    total = lambda i, c, o: {"timestamp": f"t{i}{c}{o}", "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o}}}}
     path = _write(tmp_path / "b", "r.jsonl", [
         {"timestamp": "t0", "type": "session_meta", "payload": {"id": "x", "originator": "codex_vscode", "cwd": "/w"}}, {"timestamp": "t1", "type": "turn_context", "payload": {"model": "m1"}},
         {"timestamp": "t2", "type": "response_item", "payload": {"type": "message", "role": "developer", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}}, total(10, 4, 1), total(15, 6, 2), total(3, 0, 1), total(3, 0, 1),
@@ -50,3 +50,72 @@ def test_stream(spark, tmp_path):
     stream = ingest.deduplicated(ingest.events(spark, path, "id long, ts timestamp, kind string"), ["id"])
     ingest.append(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_rollout_of_many_splits(spark, tmp_path):
+    """Numbers and carried values as in one split, and token counts as from a loop over the file."""
+    import random
+
+    rng = random.Random(7)
+    records, totals = [], {"input_tokens": 0, "cached_input_tokens": 0, "output_tokens": 0, "reasoning_output_tokens": 0}
+    for i in range(900):
+        kind, ts = rng.random(), f"t{i // 2 if rng.random() < 0.1 else i:05d}"
+        if i == 0 or kind < 0.02:
+            records.append({"timestamp": ts, "type": "session_meta", "payload": {"id": f"s{i}", "originator": "codex_vscode", "cwd": f"/w{i}"}})
+        elif kind < 0.06:
+            records.append({"timestamp": ts, "type": "turn_context", "payload": {"model": rng.choice(["m1", "m2", ""])}})
+        elif kind < 0.1:
+            records.append("{broken")
+        elif kind < 0.4:
+            info = {}
+            if rng.random() < 0.6:
+                totals = {k: v + rng.randint(0, 9) for k, v in totals.items()} if rng.random() < 0.7 else dict(totals) if rng.random() < 0.7 else {k: rng.randint(0, v) for k, v in totals.items()}
+                info["total_token_usage"] = dict(totals)
+            if rng.random() < 0.6:
+                info["last_token_usage"] = {"input_tokens": rng.randint(0, 2), "output_tokens": rng.choice([0, 5])}
+            records.append({"timestamp": ts, "type": "event_msg", "payload": {"type": "token_count", "info": info or None}})
+        else:
+            records.append({"timestamp": ts, "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "text", "text": "x" * rng.randint(0, 80)}]}})
+    path = _write(tmp_path / "many", "r.jsonl", records)
+
+    held, previous, last, expected = {}, None, None, {}
+    for r in (r for r in records if r != "{broken"):
+        p = r["payload"]
+        if r["type"] == "session_meta":
+            held |= {"session": p["id"], "cwd": p["cwd"]}
+        if r["type"] == "turn_context":
+            held["model"] = p["model"]
+        info = p.get("info") or {} if r["type"] == "event_msg" else {}
+        if t := info.get("total_token_usage"):
+            usage = {k: v - (previous or {}).get(k, 0) for k, v in t.items()}
+            usage, previous = (t if min(usage.values()) < 0 else usage), t
+            if max(usage.values()) <= 0:
+                continue
+        elif usage := info.get("last_token_usage"):
+            if usage == last:
+                continue
+            last = usage
+        else:
+            continue
+        key, cached = (held["session"], r["timestamp"]), usage.get("cached_input_tokens", 0)
+        row = expected.setdefault(key, [held.get("model") or None, held["cwd"], max(0, usage.get("input_tokens", 0) - cached), cached, usage.get("output_tokens", 0)])
+        row[0] = row[0] or held.get("model") or None
+
+    def read():
+        rows = T.lines(spark, path, T.ROLLOUT_RECORD)
+        filled = T.rollout(rows)
+        usage = {(r.session_id, r.ts_raw): [r.model, r.cwd, r.input_tokens, r.cache_read_tokens, r.output_tokens] for r in T.rollout_usage(filled).collect()}
+        return rows.select("block").distinct().count(), sorted((r.line_no, r.session_id, r.model or "", r.cwd) for r in filled.collect()), usage
+
+    whole = read()
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        cut = read()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert whole[0] == 1 and cut[0] > 20
+    assert cut[1:] == whole[1:]
+    assert [n for n, *_ in whole[1]] == [i + 1 for i, r in enumerate(records) if r != "{broken"]
+    assert cut[2] == expected

@@ -22,8 +22,9 @@ def islands(events: DataFrame, by: list[str], gap: int = GAP_US) -> DataFrame:
 
 def reply_intervals(events: DataFrame, by: list[str], cap: int = CAP_US) -> DataFrame:
     """From each user message to the next assistant message of its key, at most `cap` long."""
-    w = Window.partitionBy(*by).orderBy("us", "id").rowsBetween(1, Window.unboundedFollowing)
-    reply = F.first(F.when(F.col("type") == "assistant", F.col("us")), ignorenulls=True).over(w)
+    # backwards, so that the frame only grows and each event is looked at once
+    w = Window.partitionBy(*by).orderBy(F.desc("us"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    reply = F.last(F.when(F.col("type") == "assistant", F.col("us")), ignorenulls=True).over(w)
     found = events.withColumn("reply", reply).filter((F.col("type") == "user") & F.col("reply").isNotNull())
     return found.select(*by, F.col("us").alias("start_us"), F.least("reply", F.col("us") + cap).alias("end_us"))
 

@@ -1,18 +1,21 @@
 """Readers of agent transcripts: line logs of two hosts and the exports of two chat services, as tables of the model.
 
-Line logs are read line by line, so that files may be larger than a task's memory; nothing comes to the driver."""
+Line logs are read line by line, in splits of files: lines are numbered, and what holds from one line on is carried forward,
+by split first and then over the splits of a file, so that no task ever sees a whole file; nothing comes to the driver."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tracemill.functions import commands
 from tracemill.functions.text import json_blocks, rollout_source, split_mcp, tool_kind
+from tracemill.operators.scan import running
 
 _USAGE = "input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long"
 SESSION_RECORD = f"type string, sessionId string, timestamp string, uuid string, version string, cwd string, gitBranch string, agentId string, summary string, aiTitle string, customTitle string, message struct<role:string,model:string,id:string,content:string,usage:struct<{_USAGE}>>"
-ROLLOUT_RECORD = "timestamp string, type string, payload struct<type:string,role:string,name:string,arguments:string,content:string,id:string,session_id:string,cwd:string,originator:string,model:string,info:struct<total_token_usage:struct<input_tokens:long,cached_input_tokens:long,output_tokens:long>>>"
+ROLLOUT_RECORD = "timestamp string, type string, payload struct<type:string,role:string,name:string,arguments:string,content:string,id:string,session_id:string,cwd:string,originator:string,model:string,info:struct<total_token_usage:map<string,long>,last_token_usage:map<string,long>>>"
 
 # The tools of each family, and the order in which titles are preferred.
 FILE_TOOLS, SEARCH_TOOLS, SPAWN_TOOLS = ("Read", "Write", "Edit"), ("Grep", "Glob"), ("Task", "Agent", "Workflow")
@@ -20,15 +23,32 @@ TITLES = (("customTitle", 3), ("aiTitle", 2), ("summary", 1))
 
 
 def lines(spark: SparkSession, path: str, record: str, modified_after: str | None = None) -> DataFrame:
-    """file, line_no and the fields of each record below `path`; blank and malformed lines are skipped."""
+    """file, block (where the split begins), line_no (from 1, counting all lines of the file) and the fields of each record below
+    `path`; blank and malformed lines are skipped."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     raw = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-    good = raw.filter(F.rlike("value", F.lit(r"^\s*\{.*\}\s*$"))).withColumn("r", F.from_json("value", record))
-    # within a block of a file rows are numbered in their order
-    number = F.row_number().over(Window.partitionBy("file").orderBy("block", "row"))
-    return good.filter("r.type is not null").select("file", number.alias("line_no"), "r.*")
+    # lines of a split follow each other in `row`; one row for each split tells where it starts and how many lines come before
+    splits = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(_earlier_splits()), F.lit(0)).alias("before"))
+    good = raw.filter(F.rlike("value", F.lit(r"^\s*\{.*\}\s*$"))).withColumn("r", F.from_json("value", record)).filter("r.type is not null")
+    return good.join(splits, ["file", "block"]).select("file", "block", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"), "r.*")
+
+
+def _earlier_splits() -> WindowSpec:
+    """Over one row for each split of a file, of which there are as many as megabytes, not as lines."""
+    return Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def carried(records: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """`records` with columns that hold the last value so far, in their file, that is not null."""
+    rows = records.withColumns(values)
+    ends = rows.groupBy("file", "block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c) for c in values])
+    given = ends.select("file", "block", *[F.last(c, ignorenulls=True).over(_earlier_splits()).alias(f"_{c}") for c in values])
+    within = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumns({c: F.last(c, ignorenulls=True).over(within) for c in values}).join(given, ["file", "block"], "left")
+    return filled.withColumns({c: F.coalesce(c, f"_{c}") for c in values}).drop(*[f"_{c}" for c in values])
 
 
 def session_messages(records: DataFrame) -> DataFrame:
@@ -95,13 +115,12 @@ def session_calls(records: DataFrame) -> DataFrame:
 
 def rollout(records: DataFrame) -> DataFrame:
     """Records with the session, source, model and folder that hold at their line."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     meta = F.col("type") == "session_meta"
     held = {
         "session_id": F.when(meta, F.coalesce("payload.session_id", "payload.id")), "source": F.when(meta, rollout_source(F.col("payload.originator"))["source"]),
         "model": F.when(F.col("type") == "turn_context", F.col("payload.model")), "cwd": F.when(F.col("type").isin("session_meta", "turn_context"), F.col("payload.cwd")),
     }
-    return records.withColumns({k: F.last(v, ignorenulls=True).over(w) for k, v in held.items()})
+    return carried(records, held)
 
 
 def rollout_messages(filled: DataFrame) -> DataFrame:
@@ -112,18 +131,28 @@ def rollout_messages(filled: DataFrame) -> DataFrame:
 
 
 def rollout_usage(filled: DataFrame) -> DataFrame:
-    """Increments of the running totals of each file; a total that falls has begun anew; input is net of what was cached."""
-    total = F.col("payload.info.total_token_usage")
-    rows = filled.filter((F.col("payload.type") == "token_count") & total.isNotNull())
-    w = Window.partitionBy("file").orderBy("line_no")
-
-    def step(name: str) -> Column:
-        now = F.coalesce(total[name], F.lit(0))
-        delta = now - F.coalesce(F.lag(now).over(w), F.lit(0))
-        return F.when(delta < 0, now).otherwise(delta)
-
-    out = rows.select("session_id", "source", "model", F.col("timestamp").alias("ts_raw"), step("input_tokens").alias("all_in"), step("cached_input_tokens").alias("cache_read_tokens"), step("output_tokens").alias("output_tokens"))
-    return out.filter("all_in > 0 or cache_read_tokens > 0 or output_tokens > 0").withColumn("input_tokens", F.greatest(F.lit(0), F.col("all_in") - F.col("cache_read_tokens"))).drop("all_in")
+    """Token usage of each file: increments of its running totals, or, at events without totals, the usage of the last request,
+    unless it repeats that of the event of this kind before. If any total falls all have begun anew; increments of nothing
+    are dropped; input is net of what was cached. Of one time of a session the first row stays, with the first model."""
+    known = lambda m: F.when(F.size(m) > 0, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))))
+    rows = filled.filter((F.col("type") == "event_msg") & (F.col("payload.type") == "token_count")).select(
+        "file", "line_no", "session_id", "source", "model", "cwd", F.col("timestamp").alias("ts_raw"), known(F.col("payload.info.total_token_usage")).alias("total"), known(F.col("payload.info.last_token_usage")).alias("last")
+    )
+    parsed = lambda c: F.from_json(c, "map<string,long>")
+    totals = running(rows.filter("total is not null"), ["file"], [F.col("line_no")], "nth", lags={"previous": "total"})
+    now, then = parsed(F.col("total")), F.coalesce(parsed(F.col("previous")), F.create_map().cast("map<string,long>"))
+    delta = F.transform_values(now, lambda k, v: v - F.coalesce(F.element_at(then, k), F.lit(0)))
+    usage = F.when(F.exists(F.map_values(delta), lambda v: v < 0), now).otherwise(delta)
+    totals = totals.withColumn("usage", usage).filter(F.exists(F.map_values("usage"), lambda v: v > 0))
+    lasts = running(rows.filter("total is null and last is not null"), ["file"], [F.col("line_no")], "nth", lags={"previous": "last"})
+    lasts = lasts.filter(~F.col("last").eqNullSafe(F.col("previous"))).withColumn("usage", parsed(F.col("last")))
+    every = totals.unionByName(lasts).filter("coalesce(ts_raw, '') <> '' and coalesce(session_id, '') <> ''")
+    part = lambda name: F.coalesce(F.element_at("usage", F.lit(name)), F.lit(0))
+    cells = every.select("file", "line_no", "session_id", "source", "ts_raw", "cwd", F.nullif("model", F.lit("")).alias("model"), part("input_tokens").alias("all_in"), part("cached_input_tokens").alias("cache_read_tokens"), part("output_tokens").alias("output_tokens"))
+    place = F.struct("file", "line_no")
+    kept = cells.groupBy("session_id", "ts_raw").agg(F.min_by(F.struct("source", "cwd", "all_in", "cache_read_tokens", "output_tokens"), place).alias("u"), F.min_by("model", F.when(F.col("model").isNotNull(), place)).alias("model"))
+    net = F.greatest(F.lit(0), F.col("u.all_in") - F.col("u.cache_read_tokens"))
+    return kept.select("session_id", "u.source", "model", "ts_raw", "u.cwd", net.alias("input_tokens"), "u.cache_read_tokens", "u.output_tokens")
 
 
 def chat_messages(spark: SparkSession, path: str) -> DataFrame:
