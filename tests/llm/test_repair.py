@@ -115,3 +115,17 @@ def test_moves_cover_the_grammar():
     assert R.closing("0") == "" and R.closing("S") == "II" and R.closing("U") == "I" and R.closing("A") == ""
     kept = {(s, i, n) for s, i, letters, n, _, _ in R.moves() if letters == "K"}
     assert kept == {("0", "s", "S"), ("0", "u", "U"), ("S", "u", "U"), ("U", "a", "A"), ("A", "u", "U")}
+
+
+def test_joins_that_are_split_for_skew(spark):
+    """Adaptive execution may split a skewed partition; no conversation may come apart."""
+    rows = [(conv, t, ("user", "assistant")[t % 2], f"{conv} {t} " + "x" * (3000 if conv < 5 else 5) + ".") for conv in range(60) for t in range(6)]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert report(spark, rows) == slow(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

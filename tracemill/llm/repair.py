@@ -254,11 +254,12 @@ def repaired(turns: DataFrame, ways: DataFrame) -> DataFrame:
                 out.append({"c": now[0], "seg": now[1], "turns": lines})
 
         for b in batches:
-            for c, seg, role, text, start, part in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if (c, seg) != now:
+            for c, seg, k, role, text, start, part in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if k < 0:
                     if now is not None:
                         close()
                     now, letters, state, lines = (c, seg), iter(part), start, []
+                    continue
                 while (letter := next(letters)) == INSERT:
                     add(INSERT, None, "")
                 if letter != DELETE:
@@ -271,8 +272,11 @@ def repaired(turns: DataFrame, ways: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    rows = turns.select("c", "seg", "k", "role", "text").join(ways.select("c", "seg", "start", "part"), ["c", "seg"])
-    return rows.repartition("c", "seg").sortWithinPartitions("c", "seg", "k").select("c", "seg", "role", "text", "start", "part").mapInArrow(run, "c string, seg long, turns array<struct<edit:string,role:string,text:string>>")
+    # a segment's way comes before its turns: one shuffle, and no join whose partitions might be split
+    none = F.lit(None).cast("string")
+    rows = turns.select("c", "seg", "k", "role", "text", none.alias("start"), none.alias("part"))
+    rows = rows.unionByName(ways.select("c", "seg", F.lit(-1).cast("long").alias("k"), none.alias("role"), none.alias("text"), "start", "part"))
+    return rows.repartition("c", "seg").sortWithinPartitions("c", "seg", "k").mapInArrow(run, "c string, seg long, turns array<struct<edit:string,role:string,text:string>>")
 
 
 def _digests(segments: DataFrame) -> DataFrame:
