@@ -33,35 +33,33 @@ def _any_begins(words: Column, prefix: str) -> Column:
     return F.exists(words, lambda t: F.startswith(t, F.lit(prefix)))
 
 
-def matches(words: Column, query: str) -> Column:
-    """Terms are joined by AND unless OR or NOT stands between them; `"a phrase"` and `prefix*` are terms, too."""
-    parts = re.findall(r'"([^"]*)"|(\S+)', query)
-    terms: list[tuple[str, Column | None]] = []
-    for phrase, word in parts:
-        if word in ("AND", "OR", "NOT"):
-            terms.append((word, None))
-            continue
-        items = [_fold(t) for t in re.findall(r"[^\W_]+", phrase or word)]
-        if not items:
-            continue
-        if word.endswith("*"):
-            term = _any_begins(words, items[0])
-        elif len(items) == 1:
-            term = F.array_contains(words, items[0])
-        else:
-            term = F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(" " + " ".join(items) + " "))
-        terms.append(("", term))
-    either: list[list[Column]] = [[]]
+def parsed(query: str) -> list[list[tuple[bool, str, list[str]]]]:
+    """A query as alternatives, each a list of (negated, kind, words) that must all hold. Terms are joined by AND unless OR or NOT
+    stands between them; kinds are `word`, `phrase` and `prefix` (`"a phrase"`, `prefix*`)."""
+    either: list[list[tuple[bool, str, list[str]]]] = [[]]
     negate = False
-    for kind, term in terms:
-        if kind == "OR":
+    for phrase, word in re.findall(r'"([^"]*)"|(\S+)', query):
+        if word == "OR":
             either.append([])
-        elif kind == "NOT":
+        elif word == "NOT":
             negate = True
-        elif term is not None:
-            either[-1].append(~term if negate else term)
+        elif word != "AND" and (items := [_fold(t) for t in re.findall(r"[^\W_]+", phrase or word)]):
+            either[-1].append((negate, "prefix", items[:1]) if word.endswith("*") else (negate, "word" if len(items) == 1 else "phrase", items))
             negate = False
-    groups = [reduce(Column.__and__, g) for g in either if g]
+    return [group for group in either if group]
+
+
+def matches(words: Column, query: str) -> Column:
+    """Whether a text of these words meets the query."""
+
+    def holds(kind: str, items: list[str]) -> Column:
+        if kind == "prefix":
+            return _any_begins(words, items[0])
+        if kind == "word":
+            return F.array_contains(words, items[0])
+        return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(" " + " ".join(items) + " "))
+
+    groups = [reduce(Column.__and__, [~holds(kind, items) if negated else holds(kind, items) for negated, kind, items in g]) for g in parsed(query)]
     return reduce(Column.__or__, groups) if groups else F.lit(False)
 
 
