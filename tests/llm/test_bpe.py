@@ -47,6 +47,9 @@ def test_transducer_equals_merges_on_competing_pairs(seed):
     for _ in range(150):
         data = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 60)))
         assert ids(machine(data)) == [machine.ids[t] for t in machine.merged(data)]
+    for left, token in rng.sample([(a, b) for a in machine.ids for b in machine.ids if len(a + b) > 2], 300):
+        if machine.merged(left) == [left] and machine.merged(token) == [token]:
+            assert machine._stands(left, token) == (machine.merged(left + token) == [left, token])
 
 
 def test_lookahead_is_bounded_and_tokens_come_out_early():
@@ -100,5 +103,7 @@ def test_tables(spark):
     slow = [(i, len(e := plain().encode_ordinary(t or "") if len(t or "") < 10**5 else ids(B.Transducer(B.ranks(PATH))(t.encode()))), sha(",".join(map(str, e))), sha(t or "")) for i, t, _, _ in rows]
     assert got == sorted(slow, key=str)
     assert B.round_trip_digest(docs.limit(0), PATH, PATTERN).collect() == []
+    apart = B.decoded(B.encoded(docs, PATH, PATTERN), PATH)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, B.round_trip(docs, PATH, PATTERN).collect()))
     back = B.decoded(spark.createDataFrame([(1, None), (2, []), (3, [10**9, 64]), (4, [None])], "doc_id long, ids array<int>"), PATH)
     assert sorted(tuple(r)[::2] for r in back.collect()) == [(1, None), (2, ""), (3, "\N{REPLACEMENT CHARACTER}a"), (4, "\N{REPLACEMENT CHARACTER}")]

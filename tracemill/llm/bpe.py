@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Moves of the transducer that a worker keeps before it starts anew, and pieces of text whose ids it remembers.
-MOVES_KEPT = 300_000
+MOVES_KEPT = 600_000
 PIECES_KEPT = 300_000
 #: Rows that are worked on at once.
 ROWS = 256
@@ -51,6 +51,7 @@ class Transducer:
         self.ids = vocabulary
         self.begins = {token[:n] for token in vocabulary for n in range(1, len(token) + 1)}
         self.beside: dict[tuple[bytes | None, bytes], bool] = {}
+        self.spines: dict[tuple[bytes, bool], list[bytes] | None] = {}
         self.moves_kept = moves_kept
         self._restart()
 
@@ -81,15 +82,58 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _spine(self, token: bytes, right: bool) -> list[bytes] | None:
+        """What stands at one end of a token while its bytes merge, up to the token; None if they do not merge into it, or not
+        in ascending order of rank."""
+        key = (token, right)
+        if key not in self.spines:
+            parts = [token[i : i + 1] for i in range(len(token))]
+            at = -1 if right else 0
+            spine, latest = [parts[at]], -1
+            while len(parts) > 1:
+                pairs = [self.ids.get(a + b, sys.maxsize) for a, b in zip(parts, parts[1:])]  # noqa: B905
+                rank = min(pairs)
+                if rank == sys.maxsize or rank < latest:
+                    break
+                i, latest = pairs.index(rank), rank
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                if parts[at] != spine[-1]:
+                    spine.append(parts[at])
+            self.spines[key] = spine if len(parts) == 1 else None
+        return self.spines[key]
+
     def _stands(self, left: bytes | None, token: bytes) -> bool:
+        """Whether `token` is what the bytes behind `left` merge into; at the beginning of a piece `left` is None."""
         key = (left, token)
         known = self.beside.get(key)
         if known is None:
             if len(self.beside) >= self.moves_kept:
                 self.beside.clear()
-            known = self.beside[key] = self.merged((left or b"") + token) == ([token] if left is None else [left, token])
+            known = self.beside[key] = self._compared(left, token)
         return known
 
+    def _compared(self, left: bytes | None, token: bytes) -> bool:
+        if left is None:
+            return self.merged(token) == [token]
+        before, after = self._spine(left, True), self._spine(token, False)
+        if before is None or after is None:
+            return self.merged(left + token) == [left, token]
+        # both sides merge by rank; a merge across comes first if its rank is lower than that of the next on either side,
+        # or equal to the right one's (the leftmost of equal ones comes first)
+        i, j, ids = 0, 0, self.ids
+        while True:
+            across = ids.get(before[i] + after[j], sys.maxsize)
+            next_left = ids[before[i + 1]] if i + 1 < len(before) else sys.maxsize
+            next_right = ids[after[j + 1]] if j + 1 < len(after) else sys.maxsize
+            if across < next_left and across <= next_right:
+                return across == sys.maxsize
+            if next_left == next_right == sys.maxsize:
+                return True
+            if next_left <= next_right:
+                i += 1
+            else:
+                j += 1
+
     def _emitted(self, lasts: tuple[bytes | None, ...], end: int) -> bytes:
         tokens = []
         while end:
@@ -139,9 +183,14 @@ class Transducer:
         if len(self.moves) >= self.moves_kept:
             self._restart()
         state, out = 0, []
-        for state, emitted in self.steps(piece):
-            if emitted:
-                out.append(emitted)
+        moves, emits = self.moves, self.emits
+        for byte in piece:  # as in `steps`
+            key = state << 8 | byte
+            state = moves.get(key, -1)
+            if state < 0:
+                state = self._move(key)
+            if key in emits:
+                out.append(emits[key])
         rest = self.rests.get(state)
         if rest is None:
             lasts, open_ = self.states[state]
@@ -273,13 +322,7 @@ def _decoder(path: str) -> Decoder:
     return Decoder(ranks(path))
 
 
-def encoded(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id and `ids` (array of int) of the whole `text` of every row, without special tokens: what the tiktoken library
-    gives for the rank file `vocabulary` and `pattern`.
-
-    Null texts are empty and have no ids; doc_id may be null, repeated and of any type; other columns are ignored; an empty
-    table gives no rows. No row meets another: there is no shuffle."""
-
+def _encoding(vocabulary: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, pattern)
         for b in batches:
@@ -290,14 +333,10 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 yield pa.RecordBatch.from_arrays([rows.column(0), ids], names=["doc_id", "ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
-
+    return run
 
-def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids and the `text` that the ids stand for. Ids that are null or no tokens, and bytes that are not UTF-8, give
-    replacement characters; a null array has a null text."""
 
+def _decoding(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(vocabulary)
         for b in batches:
@@ -306,12 +345,39 @@ def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
                 texts = [None if ids is None else "".join(decoder.stream(ids)) for ids in rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
+    return run
+
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")), docs.schema["doc_id"].dataType.simpleString()
+
+
+def encoded(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """doc_id and `ids` (array of int) of the whole `text` of every row, without special tokens: what the tiktoken library
+    gives for the rank file `vocabulary` and `pattern`.
+
+    Null texts are empty and have no ids; doc_id may be null, repeated and of any type; other columns are ignored; an empty
+    table gives no rows. No row meets another: there is no shuffle."""
+    rows, kind = _texts(docs)
+    return rows.mapInArrow(_encoding(vocabulary, pattern), f"doc_id {kind}, ids array<int>")
+
+
+def decoded(tokens: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, ids and the `text` that the ids stand for. Ids that are null or no tokens, and bytes that are not UTF-8, give
+    replacement characters; a null array has a null text."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(_decoding(vocabulary), f"doc_id {kind}, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """`decoded` after `encoded`, in one pass of one worker."""
+    encode, decode = _encoding(vocabulary, pattern), _decoding(vocabulary)
+    rows, kind = _texts(docs)
+    return rows.mapInArrow(lambda batches: decode(encode(batches)), f"doc_id {kind}, ids array<int>, text string")
 
 
 def round_trip_digest(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Encode, decode, digest: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
-    back = decoded(encoded(docs, vocabulary, pattern), vocabulary)
+    back = round_trip(docs, vocabulary, pattern)
     written = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
