@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalogue, operator_catalogue, sessions_catalogue
+from . import catalogue, ingest_catalogue, operator_catalogue, sessions_catalogue
 
-QUERIES = {**catalogue.QUERIES, **sessions_catalogue.QUERIES, **operator_catalogue.QUERIES}
-ORACLE_SQL = {**catalogue.ORACLE_SQL, **sessions_catalogue.ORACLE_SQL, **operator_catalogue.ORACLE_SQL}
+_CATALOGUES = (catalogue, sessions_catalogue, operator_catalogue, ingest_catalogue)
+QUERIES = {name: query for c in _CATALOGUES for name, query in c.QUERIES.items()}
+ORACLE_SQL = {name: sql for c in _CATALOGUES for name, sql in c.ORACLE_SQL.items()}

@@ -22,10 +22,10 @@ FILE_TOOLS, SEARCH_TOOLS, SPAWN_TOOLS = ("Read", "Write", "Edit"), ("Grep", "Glo
 TITLES = (("customTitle", 3), ("aiTitle", 2), ("summary", 1))
 
 
-def lines(spark: SparkSession, path: str, record: str, modified_after: str | None = None) -> DataFrame:
+def lines(spark: SparkSession, path: str, record: str, modified_after: str | None = None, glob: str = "*.jsonl") -> DataFrame:
     """file, block (where the split begins), line_no (from 1, counting all lines of the file) and the fields of each record below
-    `path`; blank and malformed lines are skipped."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    `path` in files named like `glob`; blank and malformed lines are skipped."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     raw = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
