@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import fulltext, pairing
+from tracemill.operators import fulltext, packages, pairing
 from tracemill.operators.storage import shared_folder
 from tracemill.sources import transcripts
 
@@ -114,6 +114,31 @@ def _indexed(t: Tables, query: str) -> DataFrame:
     return fulltext.find(messages.sparkSession, path, query, ["session_id", "seq"])
 
 
+def _packaged(t: Tables, twice: bool = True) -> dict[str, DataFrame]:
+    """Calls and usage of the first events are here, some calls without their outcome; a package of another host brings all that
+    are divisible by 2, and is merged twice."""
+    spark, here = t("events").sparkSession, F.col("id") % 3 == 0
+    none = lambda kind: F.lit(None).cast(kind)
+    calls = t("tool_calls").select("id", "session_id", F.lit(1).cast("long").alias("project_id"), F.lit(1).cast("long").alias("user_id"), F.lit(1).cast("long").alias("host_id"), "ts_raw", "family", "name", "command", none("string").alias("cmd_name"), "server_name", none("string").alias("kind"), "is_error", "error_text")
+    usage = t("token_usage").select("id", "session_id", F.lit(1).cast("long").alias("project_id"), F.lit(1).cast("long").alias("user_id"), F.lit(1).cast("long").alias("host_id"), "ts_raw", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")
+    mine = calls.filter(here).withColumn("is_error", F.when(F.col("id") % 4 != 0, F.col("is_error")))
+    existing = {
+        "hosts": spark.sql("SELECT 1L AS id, 'here' AS name, 't' AS last_seen"), "users": spark.sql("SELECT 1L AS id, 'me' AS name, 't' AS last_seen"), "projects": spark.sql("SELECT 1L AS id, 'p' AS name, 't' AS last_seen"),
+        "messages": usage.limit(0).select("session_id", "project_id", "user_id", "host_id", F.col("ts_raw").alias("uuid"), F.col("model").alias("type"), F.col("model").alias("content"), "ts_raw"), "token_usage": usage.filter(here).drop("id"),
+        "tool_calls": packages.keyed_calls(mine.drop("id")), "sessions": usage.filter(here).groupBy("session_id", "project_id", "user_id", "host_id").agg(F.min("ts_raw").alias("ts_raw"), F.lit(-1).cast("long").alias("total_tokens"), F.lit(-1).cast("long").alias("message_count")),
+        "session_sources": usage.filter(here).groupBy("session_id", "project_id").agg(F.when(F.min("id") % 2 == 0, "codex_cli").otherwise("web").alias("source")), "state": spark.sql("SELECT 'pull_cursor' AS key, 1L AS host_id, 't' AS value"),
+    }
+    sent = F.col("id") % 2 == 0
+    arrays = calls.filter(sent).groupBy("session_id").agg(F.collect_list(F.struct("ts_raw", "family", "name", "command", "server_name", "is_error", "error_text")).alias("tool_calls"))
+    arrays = arrays.join(usage.filter(sent).groupBy("session_id").agg(F.collect_list(F.struct("ts_raw", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens")).alias("token_usage"), F.min("ts_raw").alias("ts_raw")), "session_id")
+    said = F.array(F.struct(F.concat(F.lit("u-"), F.col("session_id")).alias("uuid"), F.lit("user").alias("type"), F.lit("hi").alias("content"), F.col("ts_raw").alias("ts_raw")))
+    package = arrays.withColumns({"project": F.lit("p"), "client_source": F.lit("codex_vscode"), "messages": said, "summary": F.lit("s"), "total_tokens": F.lit(5), "message_count": F.lit(5), "at": F.lit(0)})
+    once = packages.merged(existing, package, "there", "ann")
+    return packages.merged(once, package, "there", "ann") if twice else once
+
+
+_SENT = """, c AS (SELECT *, id % 3 = 0 AS here, id % 2 = 0 AS sent FROM tool_calls), u AS (SELECT *, id % 3 = 0 AS here, id % 2 = 0 AS sent, input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens AS t FROM token_usage) """
+
 _WORDS = ", words AS (SELECT session_id, seq, list_filter(regexp_split_to_array(strip_accents(lower(content)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM messages) "
 
 #: SQL that begins with a comma needs a view before it.
@@ -132,6 +157,9 @@ REPORTS: tuple[Report, ...] = (
     Report("ing_route_tool_call", lambda t: transcripts.session_calls(_sessions(t)).select("session_id", "ts_raw", "family", "tool_call_id", "name"), _ONE,
            _TALK + f", routed AS (SELECT *, {[x[2] for x in _TOOLS]}[(conv_id + turn) % {len(_TOOLS)} + 1] AS family, {[x[0] for x in _TOOLS]}[(conv_id + turn) % {len(_TOOLS)} + 1] AS tool FROM talk WHERE role = 'assistant') SELECT session_id, ts_raw, family, ts_raw AS tool_call_id, CASE tool WHEN 'mcp__srv__do' THEN 'do' ELSE tool END AS name FROM routed WHERE family IS NOT NULL".replace("None", "NULL")),
     Report("src_claude_ai", _exported, _ONE, ", c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) SELECT concat('claudeai:k', conv_id) AS session_id, CAST(n AS INTEGER) AS seq, CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS type, text AS content FROM c"),
+    Report("rpl_ingest_sessions", lambda t: _packaged(t)["sessions"].select("session_id", "ts_raw", "total_tokens", "message_count"), ("token_usage", "tool_calls"), _SENT + "SELECT session_id, coalesce(min(ts_raw) FILTER (here), min(ts_raw) FILTER (sent)) AS ts_raw, CASE WHEN count(*) FILTER (sent) > 0 THEN CAST(sum(t) FILTER (here OR sent) AS BIGINT) ELSE -1 END AS total_tokens, CASE WHEN count(*) FILTER (sent) > 0 THEN 1 ELSE -1 END AS message_count FROM u WHERE here OR sent GROUP BY 1"),
+    Report("rpl_ingest_calls", lambda t: _packaged(t)["tool_calls"].groupBy("session_id", "family").agg(F.count("*").alias("calls"), F.sum("is_error").alias("errors"), F.count("is_error").alias("measured"), F.count("cmd_name").alias("named"), F.count("kind").alias("kinds")), ("token_usage", "tool_calls"), _SENT + "SELECT session_id, family, count(*) AS calls, CAST(sum(CASE WHEN here AND NOT sent AND id % 4 = 0 THEN NULL ELSE is_error END) AS BIGINT) AS errors, count(CASE WHEN here AND NOT sent AND id % 4 = 0 THEN NULL ELSE is_error END) AS measured, count(*) FILTER (NOT here AND family = 'bash') AS named, count(*) FILTER (NOT here AND family = 'mcp') AS kinds FROM c WHERE here OR sent GROUP BY 1, 2"),
+    Report("rpl_ingest_sources", lambda t: _packaged(t)["session_sources"].select("session_id", "source"), ("token_usage", "tool_calls"), _SENT + "SELECT session_id, CASE WHEN count(*) FILTER (here) = 0 THEN 'codex_vscode' WHEN min(id) FILTER (here) % 2 = 1 THEN 'web' WHEN count(*) FILTER (sent) > 0 THEN 'codex_vscode' ELSE 'codex_cli' END AS source FROM u WHERE here OR sent GROUP BY 1"),
     Report("sch_fts_index", lambda t: _indexed(t, '"the in" OR de NOT un* OR the is'), _ONE, _WORDS + "SELECT session_id, seq FROM words WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' the in ') OR (list_contains(w, 'de') AND len(list_filter(w, lambda x: starts_with(x, 'un'))) = 0) OR (list_contains(w, 'the') AND list_contains(w, 'is'))"),
 )
 
