@@ -76,6 +76,13 @@ def test_any_text(text):
     assert "".join(B.Decoder(B.ranks(PATH)).stream(plain().encode_ordinary(text))) == text
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.characters(max_codepoint=255), max_size=40))
+def test_latin_texts(text):
+    assert ids(encoder().encode(text)) == plain().encode_ordinary(text)
+    assert B.PATTERN == PATTERN
+
+
 def test_code_points_of_any_version_of_unicode():
     for lead in range(0, 0x110000, 61):
         if not 0xD800 <= lead < 0xE000:

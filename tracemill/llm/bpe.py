@@ -16,6 +16,7 @@ gives text and the next state, worked out byte by byte when first met. Texts com
 from __future__ import annotations
 
 import base64
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -29,9 +30,13 @@ from pyspark.sql import functions as F
 
 #: Moves of the transducer that a worker keeps before it starts anew, and pieces of text whose ids it remembers.
 MOVES_KEPT = 600_000
-PIECES_KEPT = 300_000
+PIECES_KEPT = 400_000
 #: Rows that are worked on at once.
 ROWS = 256
+# Fixed value: the pattern of this kind of rank files, which texts of Latin-1 characters are cut by with these classes.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r" \t\n\x0b\x0c\r\x85\xa0"
+_LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 
 
@@ -226,14 +231,16 @@ class Splitter:
         return self.likes[char]
 
     def __call__(self, text: str) -> list[str]:
-        if not text.isascii():
-            new = set(text) - self.known
+        latin = text.isascii()
+        if not latin:
+            chars = set(text)
+            latin, new = max(chars) <= "\xff", chars - self.known
             unknown = {c for c in new if unicodedata.category(c) == "Cn"}
             self.known |= new - unknown
             if unknown:
                 stand_in = text.translate({ord(c): self._like(c) for c in unknown})
                 return [text[m.start() : m.end()] for m in self.find.finditer(stand_in)]
-        return self.find.findall(text)
+        return _LATIN(text) if latin and self.pattern == PATTERN else self.find.findall(text)
 
 
 class Encoder(dict):
