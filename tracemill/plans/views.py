@@ -16,36 +16,39 @@ DIALECTS = {
 
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 
-# Literal inputs of scalar functions, by kind; `|` stands for a line break.
+# Shapes of inputs of scalar functions, by kind; `|` stands for a line break, `~` for a word of a document, `#` for two digits.
 CASES = {
-    "date": ("2026-07-10", "2026-07-10T00:00:00Z", "2026-07-10T02:00:00+02:00", "2026-07-10T12:34:56.789Z", "2026-07-10T12:34:56", "2026-01-10T23:59:59.5-05:30"),
-    "host": ("mini.local", "box.localdomain", "Mac", "macbook-pro.local", "", " ", "localhost", "build-7", "UNKNOWN", "a.local.localdomain"),
-    "agent": ("a1e94cf", "acompact-1f", "abb5998eb0fb92919", "aside_question-2", "dead-beef", "", "-x", "Abc"),
+    "date": ("2026-07-10", "2026-07-10T00:00:00Z", "2026-07-10T02:00:00+02:00", "2026-07-10T12:#:56.789Z", "2026-07-10T12:34:#", "2026-01-10T23:59:59.5-05:30"),
+    "host": ("mini-~.local", "~.localdomain", "Mac", "macbook-pro.local", "", " ", "localhost", "build-#", "UNKNOWN", "a.local.localdomain"),
+    "agent": ("a1e94cf", "~", "acompact-1f", "abb5998eb0fb929#", "aside_question-2", "dead-beef", "", "-x", "Abc"),
     "path": (
-        "/Users/me/work/app", "-Users-me-my-code-twin-peaks", "-Users-me", "/sessions/x/mnt/roadmap/a.md", "/Users/me/OneDrive-Acme/plans/b.md", "/tmp/x", "/Users/me/Documents/notes.txt", "/Claude_Coworks/alpha/outputs", "/mnt/outputs/beta", "relative/path",
-        "/var/folders/ab/c", "/Users/me/Downloads/.claude/gamma", "/a/local-agent-mode-sessions/mnt/x", "/p/11111111-2222-3333-4444-555555555555/subagents/agent-a1b2.jsonl", "/p/11111111-2222-3333-4444-555555555555/subagents/workflows/wf_9-x/agent-c3.jsonl", "/p/q/agent-d4.jsonl", "/p/s.jsonl",
+        "/Users/me/work/~", "-Users-me-my-code-~-peaks", "-Users-me", "/sessions/x/mnt/~/a.md", "/Users/me/OneDrive-Acme/~/b.md", "/tmp/x", "/Users/me/Documents/notes.txt", "/Claude_Coworks/alpha/outputs", "/mnt/outputs/beta", "relative/path",
+        "/var/folders/ab/c", "/Users/me/Downloads/.claude/gamma", "/a/local-agent-mode-sessions/mnt/x", "/p/11111111-2222-3333-4444-555555555555/subagents/agent-a1b#.jsonl", "/p/11111111-2222-3333-4444-555555555555/subagents/workflows/wf_#-~/agent-c#.jsonl", "/p/q/agent-d4.jsonl", "/p/s.jsonl",
     ),
-    "spawn": ('{"subagent_type": "Explore", "prompt": "look"}', '{"name": "n1"}', '{"resume": "x"}', "{}", '{"name": " flow ", "args": "a"}', '{"title": "t"}', '{"scriptPath": "/x/find-flaky-wf_12.js"}', '{"resumeFromRunId": "wf_77", "script": "export const meta = { name: \'deep\' }"}', '{"run_in_background": true, "model": "m"}'),
-    "reply": ('{"a": 1}', '```json|{"a": 2}|```', '<think>x|y</think> {"a": 3} done', "  ", "no json", 'say {"a": {"b": 4}} end }'),
-    "tools": ("Using grep tool and Tool: find", '<invoke name="edit">', "Tool: a Tool: a Using b tool", "none", ""),
-    "marker": ("|--- tool_use: web ---|{}|", "text|--- tool_result: web (ok) ---|x|--- tool_result: sh (error) ---|y", " --- tool_use: indented ---", "plain"),
-    "result": ('[{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]', "plain text", '{"type": "text", "text": "c"}', '["d", "e", ""]', "", '[{"type": "image"}]'),
-    "noise": ("data:image/png;base64,AAA= x", "<thinking>q", "[Request interrupted by user] y", "The user opened the file a.py in the IDE. go", "</system-reminder>z", "plain"),
-    "error": ("Exit code 127|x", "Exit code x", "no", "Exit code 1", "false", "0", "NULL", " none ", "true", "", "1"),
-    "command": ("cat -n a.txt b", "mv -f a b", "cp a", "grep a", "ls", "/bin/rm x", "tail f g", "", "  head  y ", "chmod 1 z"),
-    "tool": ("mcp__srv__do", "mcp__srv__do__more", "mcp__x", "Read", "mcp____y", ""),
+    "spawn": ('{"subagent_type": "~", "prompt": "look"}', '{"name": "n#"}', '{"resume": "x"}', "{}", '{"name": " flow ", "args": "a"}', '{"title": "~"}', '{"scriptPath": "/x/find-~-wf_#.js"}', '{"resumeFromRunId": "wf_77", "script": "export const meta = { name: \'deep\' }"}', '{"run_in_background": true, "model": "m"}'),
+    "reply": ('{"~": 1}', '```json|{"a": 2}|```', '<think>x|y</think> {"a": 3} done', "  ", "no ~", 'say {"a": {"b": 4}} end }'),
+    "tools": ("Using ~ tool and Tool: find#", '<invoke name="edit">', "Tool: a Tool: a Using b tool", "none", ""),
+    "marker": ("|--- tool_use: ~ ---|{}|", "text|--- tool_result: web (ok) ---|x|--- tool_result: sh (error) ---|y", " --- tool_use: ~ ---", "plain"),
+    "result": ('[{"type": "text", "text": "~"}, {"type": "text", "text": "b"}]', "plain ~", '{"type": "text", "text": "c"}', '["d", "e", ""]', "", '[{"type": "image"}]'),
+    "noise": ("data:image/png;base64,AAA= x", "<thinking>~ #", "[Request interrupted by user] y", "The user opened the file a.py in the IDE. go", "</system-reminder>z", "plain"),
+    "error": ("Exit code 1#|~", "Exit code x", "no", "Exit code 1", "false", "0", "NULL", " none ", "true", "", "1"),
+    "command": ("cat -n ~.txt b", "mv -f ~ b#", "cp a", "grep a", "ls", "/bin/rm x", "tail f g", "", "  head  y ", "chmod 1 z"),
+    "tool": ("mcp__~__do", "mcp__srv__do__more", "mcp__x", "Read", "mcp____y", ""),
     "source": ("codex_work_desktop", "Codex Desktop", "codex_vscode", "codex_cli_rs", "codex-tui", "codex_exec", "banana_client", ""),
-    "tagged": ("<system-reminder>x</system-reminder> hi ", "a <b>c</b>", "x <ide_selection> y", "<command-name>a</command-name>", "plain"),
+    "tagged": ("<system-reminder>~</system-reminder> hi # ", "~ <b>c</b>", "x <ide_selection> y", "<command-name>a</command-name>", "plain"),
 }
 
 
 def _cases() -> str:
-    rows = [f"('{kind}', {i}, '{x.replace(chr(39), chr(39) * 2)}')" for kind, values in CASES.items() for i, x in enumerate(values)]
-    return f"SELECT kind, n, replace(x, '|', chr(10)) AS x FROM (VALUES {', '.join(rows)}) AS t(kind, n, x)"
+    """Each document gives one case of each kind: the shape that its number picks, with a word of its text and digits of its number."""
+    rows = [f"('{kind}', {i}, {len(values)}, '{x.replace(chr(39), chr(39) * 2)}')" for kind, values in CASES.items() for i, x in enumerate(values)]
+    word = "lower(coalesce(nullif(regexp_extract(text, '([A-Za-z]{2,6})', 1), ''), 'word'))"
+    filled = f"replace(replace(replace(shape, '|', chr(10)), '~', {word}), '#', lpad(concat('', doc_id % 60), 2, '0'))"
+    return f"SELECT kind, doc_id AS n, {filled} AS x FROM documents JOIN (VALUES {', '.join(rows)}) AS t(kind, i, size, shape) ON doc_id % size = i"
 
 
 VIEWS = {
-    "cases": (None, _cases()),
+    "cases": ("documents", _cases()),
     "chat_log": (
         "conversations",
         """SELECT concat('c', conv_id) AS session_id, conv_id % 7 AS project_id, turn AS seq, role AS type, CASE WHEN conv_id % 5 = 0 AND turn < 2 THEN concat('<system-reminder>', substr(text, 1, 20), '</system-reminder>') ELSE text END AS content,
@@ -99,11 +102,13 @@ VIEWS = {
         "SELECT DISTINCT session_id, project_id, CASE user_id % 4 WHEN 0 THEN 'cli' WHEN 1 THEN 'desktop' WHEN 2 THEN 'web' ELSE 'agent' END AS source FROM token_usage WHERE user_id % 10 <> 0",
     ),
     "pricing": (
-        None,
+        "part",
         """SELECT model, CAST(input_price AS DOUBLE) AS input_price, CAST(output_price AS DOUBLE) AS output_price, CAST(cache_write_price AS DOUBLE) AS cache_write_price,
         CAST(cache_read_price AS DOUBLE) AS cache_read_price, from_date, to_date FROM (VALUES ('view', 3.0, 15.0, 3.75, 0.3, '2024-01-01', '2024-01-15'), ('view', 2.0, 10.0, 2.5, 0.2, '2024-01-15', NULL),
         ('click', 5.0, 25.0, 6.25, 0.5, '2024-01-01', '2024-01-15'), ('click', 4.0, 20.0, 5.0, 0.4, '2024-01-15', NULL), ('purchase', 1.75, 14.0, 0.0, 0.175, '2024-01-01', NULL),
-        ('error', 1.0, 5.0, 1.25, 0.1, '2024-01-10', NULL)) AS t(model, input_price, output_price, cache_write_price, cache_read_price, from_date, to_date)""",
+        ('error', 1.0, 5.0, 1.25, 0.1, '2024-01-10', NULL)) AS t(model, input_price, output_price, cache_write_price, cache_read_price, from_date, to_date)
+        UNION ALL SELECT concat('part', p_partkey) AS model, CAST(p_size AS DOUBLE) AS input_price, p_size * 5.0 AS output_price, p_size * 1.25 AS cache_write_price, p_size * 0.125 AS cache_read_price,
+        CASE WHEN k = 0 THEN '2024-01-01' ELSE concat('2024-01-', lpad(concat('', 10 + p_partkey % 9), 2, '0')) END AS from_date, CASE WHEN k = 0 THEN concat('2024-01-', lpad(concat('', 10 + p_partkey % 9), 2, '0')) END AS to_date FROM part CROSS JOIN (VALUES (0), (1)) AS s(k)""",
     ),
     "sessions": (
         "token_usage",
@@ -142,7 +147,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if base is None:
         return spark.sql(sql)
     source = view(spark, sf_dir, base) if base in VIEWS else spark.read.parquet(f"{sf_dir}/{base}.parquet")
-    return spark.sql(sql.replace(f"FROM {base}", "FROM {source}"), source=source)
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {base}", "FROM {source}"), source=source)
 
 
 def with_views(sql: str, *names: str) -> str:
