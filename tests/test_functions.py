@@ -43,6 +43,7 @@ def test_cmd_name_stays_in_the_jvm(spark, capsys):
         (text.smart_title, [
             ("<ide_opened_file>The user opened the file /a/b/c.py in</ide_opened_file> fix", "File: c.py"), ("First one. Then more", "First one."), ("x" * 90, "x" * 80 + "..."),
             ("Warmup", "(no title)"), ("", "(no title)"), (None, "(no title)"), ("<ide_selection>a\nb</ide_selection> do it", "do it"), ("y" * 80, "y" * 80),
+            ("<ide_selection>lone\nrest", "rest"), ("a <ide_opened_file>no path\nat all", "a"), ("<ide_selection>x</ide_selection>\n <ide_selection>y</ide_selection>", "(no title)"), (" WARMUP \n", "(no title)"), ("z" * 99 + ". more", "z" * 80 + "..."), ("z" * 98 + ". more", "z" * 98 + "."),
         ]),
         (text.clean_noise, [("data:image/png;base64,AAA= x", "[image] x"), ("a" * 299, "a" * 299), ("a" * 301, "[blob]"), ("<thinking>q", " q"), ("[Request interrupted by user] y", "  y"), (None, None)]),
         (outcomes.clean_flag, [(None, 0), ("false", 0), ("0", 0), ("no", 0), ("None", 0), ("null", 0), ("", 0), ("true", 1), ("1", 1), ("x", 1)]),
