@@ -32,14 +32,35 @@ FILE_COMMANDS = (*READS, "cp", "mv", "rm", "mkdir", "touch", "ls", "find", "tree
 
 _ASSIGNMENT = r"""[A-Za-z_][A-Za-z0-9_]*\+?=(?:"[^"]*"|'[^']*'|`[^`]*`|\$\([^)]*\)|[^\s;&|)]*)"""
 _LEXEME = rf"({_ASSIGNMENT}|&&|\|\||\n|[;|&<>(){{}}!]|[^\s;&|<>()]+)"
-_SEPARATORS = ("&&", "||", ";", "|", "\n")
-_OPERATORS = (*_SEPARATORS, "&", "<", ">", "(", ")", "{", "}", "!")
-# States of the fold.
+# States of the fold, and kinds of lexemes.
 _SEEK, _WRAPPED, _VALUE, _PREPARED, _FOUND = range(5)
+_NEWLINE, _SEPARATOR, _REDIRECT, _BRACKET, _ASSIGN, _WRAPPER, _PREAMBLE, _WORD = range(8)
+_TAKERS = {option: tuple(p for p, options in OPTIONS_WITH_VALUE.items() if option in options) for options in OPTIONS_WITH_VALUE.values() for option in options}
 
 
-def _any_of(x: Column, values: tuple[str, ...]) -> Column:
-    return x.isin(*values)
+def _classified(lexemes: Column) -> Column:
+    """Each lexeme with its base name, its kind, whether it is an option, and the wrappers whose option takes the next word.
+    Each step of this looks only at what the one before has found, so that nothing is worked out twice."""
+    cut = F.transform(lexemes, lambda x: F.struct(x.alias("x"), F.regexp_replace(x, "^['\"`]+|['\"`]+$", "").alias("raw")))
+    based = F.transform(cut, lambda e: F.struct(e["x"].alias("x"), e["raw"].alias("raw"), F.lower(F.element_at(F.split(F.regexp_replace(e["raw"], "/+$", ""), "/"), -1)).alias("base")))
+
+    def named(e: Column) -> Column:
+        name = F.when(F.lit(False), "")
+        for short, long in ALIASES.items():
+            name = name.when((e["raw"] == short) | (e["base"] == short), long)
+        return F.struct(e["x"].alias("x"), name.otherwise(e["base"]).alias("base"))
+
+    def kind(e: Column) -> Column:
+        x = e["x"]
+        what = F.when(x == "\n", _NEWLINE).when(x.isin("&&", "||", ";", "|"), _SEPARATOR).when(x.isin("&", "<", ">"), _REDIRECT).when(x.isin("(", ")", "{", "}", "!"), _BRACKET)
+        what = what.when(F.contains(x, F.lit("=")) & F.rlike(x, F.lit(f"^{_ASSIGNMENT}")), _ASSIGN).when(e["base"].isin(*WRAPPERS), _WRAPPER).when(e["base"].isin(*PREAMBLE), _PREAMBLE).otherwise(_WORD)
+        option = F.startswith(x, F.lit("-")) & (F.length(x) > 1)
+        takers = F.when(~option, F.array().cast("array<string>"))
+        for name, programs in _TAKERS.items():
+            takers = takers.when(x == name, F.array(*map(F.lit, programs)))
+        return F.struct(e["base"].alias("base"), what.alias("kind"), option.alias("option"), takers.alias("takers"))
+
+    return F.transform(F.transform(based, named), kind)
 
 
 def cmd_name(command: Column) -> Column:
@@ -55,35 +76,24 @@ def cmd_name(command: Column) -> Column:
     lexemes = F.regexp_extract_all(stripped(text), F.lit(_LEXEME), F.lit(1))
     at = lambda mode, name, hops: F.struct(F.lit(mode).cast("int").alias("mode"), name.alias("name"), hops.alias("hops"))
 
-    def step(s: Column, x: Column) -> Column:
-        mode, name, hops = s["mode"], s["name"], s["hops"]
-        again = hops + 1
-        operator = _any_of(x, _OPERATORS)
-        raw = F.regexp_replace(x, "^['\"`]+|['\"`]+$", "")
-        base = F.lower(F.element_at(F.split(F.regexp_replace(raw, "/+$", ""), "/"), -1))
-        for short, long in ALIASES.items():
-            base = F.when((raw == short) | (base == short), long).otherwise(base)
-        word = (
-            F.when(hops >= HOPS, at(_FOUND, F.lit(""), hops))
-            .when(F.rlike(x, F.lit(f"^{_ASSIGNMENT}")), at(_SEEK, F.lit(""), again))
-            .when(_any_of(base, WRAPPERS), at(_WRAPPED, base, again))
-            .when(_any_of(base, PREAMBLE), at(_PREPARED, base, again))
-            .otherwise(at(_FOUND, F.when(F.startswith(base, F.lit("$")), "(var)").otherwise(F.substring(base, 1, LONGEST)), hops))
-        )
-        takes = F.lit(False)
-        for program, options in OPTIONS_WITH_VALUE.items():
-            takes = takes | ((name == program) & _any_of(x, options))
+    def step(s: Column, e: Column) -> Column:
+        mode, name, hops, kind = s["mode"], s["name"], s["hops"], e["kind"]
+        behind, nothing = (mode == _WRAPPED) | (mode == _VALUE), F.lit("")
         return (
             F.when(mode == _FOUND, s)
-            .when(mode == _PREPARED, F.when(_any_of(x, _SEPARATORS), at(_SEEK, F.lit(""), hops)).otherwise(s))
-            .when((mode == _VALUE) & ~operator, at(_WRAPPED, name, hops))
-            .when(mode.isin(_WRAPPED, _VALUE) & _any_of(x, (*_SEPARATORS[:4], "&", "<", ">")), at(_FOUND, name, hops))
-            .when((mode == _WRAPPED) & F.rlike(x, F.lit("^-.")), F.when(takes, at(_VALUE, name, hops)).otherwise(s))
-            .when(operator, F.when(mode.isin(_WRAPPED, _VALUE) & (x == "\n"), s).otherwise(at(_SEEK, F.lit(""), hops)))
-            .otherwise(word)
+            .when(mode == _PREPARED, F.when(kind <= _SEPARATOR, at(_SEEK, nothing, hops)).otherwise(s))
+            .when((mode == _VALUE) & (kind > _BRACKET), at(_WRAPPED, name, hops))
+            .when(behind & ((kind == _SEPARATOR) | (kind == _REDIRECT)), at(_FOUND, name, hops))
+            .when((mode == _WRAPPED) & e["option"], F.when(F.coalesce(F.array_contains(e["takers"], name), F.lit(False)), at(_VALUE, name, hops)).otherwise(s))
+            .when(kind <= _BRACKET, F.when(behind & (kind == _NEWLINE), s).otherwise(at(_SEEK, nothing, hops)))
+            .when(hops >= HOPS, at(_FOUND, nothing, hops))
+            .when(kind == _ASSIGN, at(_SEEK, nothing, hops + 1))
+            .when(kind == _WRAPPER, at(_WRAPPED, e["base"], hops + 1))
+            .when(kind == _PREAMBLE, at(_PREPARED, e["base"], hops + 1))
+            .otherwise(at(_FOUND, F.when(F.startswith(e["base"], F.lit("$")), "(var)").otherwise(F.substring(e["base"], 1, LONGEST)), hops))
         )
 
-    return F.aggregate(lexemes, at(_SEEK, F.lit(""), F.lit(0)), step, lambda s: s["name"])
+    return F.aggregate(_classified(lexemes), at(_SEEK, F.lit(""), F.lit(0)), step, lambda s: s["name"])
 
 
 def stripped(text: Column) -> Column:
