@@ -172,7 +172,9 @@ def solved(turns: DataFrame) -> DataFrame:
             yield answer(con, pa.Table.from_batches(held))
         con.close()
 
-    return turns.select(*names).repartition("c", "seg").sortWithinPartitions("c", "seg", "k").mapInArrow(run, _SOLVED)
+    # little to read and much to do: not to be joined into few tasks by size
+    n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return turns.select(*names).repartition(n, "c", "seg").sortWithinPartitions("c", "seg", "k").mapInArrow(run, _SOLVED)
 
 
 _CHOSEN = "c string, seg long, start string, part string, cost long, audit string, illegal long"
