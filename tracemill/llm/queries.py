@@ -67,7 +67,7 @@ def _op4_sql() -> str:
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-lowered AS (SELECT *, lower(host || chr(10) || path) AS subject FROM parts)
+lowered AS (SELECT *, lower(replace(host, chr(10), chr(1)) || chr(10) || path) AS subject FROM parts)
 SELECT page_id, host, path, CASE {" ".join(names)} ELSE NULL END AS rule,
   CASE {" ".join(cases)} WHEN {patterns} THEN 'block' ELSE 'allow' END AS verdict FROM lowered"""
 

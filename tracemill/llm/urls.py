@@ -20,6 +20,7 @@ ALLOW, BLOCK = "allow", "block"
 #: Rules up to which their index is broadcast; beyond, the join is a shuffle.
 SMALL_RULES = 100_000
 SALTS = 32
+HOST_BREAK = "\x01"
 TOKEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
@@ -47,7 +48,7 @@ def host_rule(host: str, path: str, verdict: str) -> Rule:
     whole = _tokens(host) + [t for t in _tokens(path[: max((i + 1 for i, c in enumerate(path) if not c.isalnum()), default=0)])]
     if not whole:
         raise ValueError("a host rule needs a host")
-    # the expression sees `host` + newline + `path`
+    # the expression sees `host` (whose own line breaks are HOST_BREAK) + newline + `path`
     return Rule(f"^(?:[^\\n]*\\.)?{_quoted(host)}\\n{_quoted(path)}", tuple(dict.fromkeys(whole)), verdict, 1000 + len(host) + len(path), host + path, True)
 
 
@@ -135,10 +136,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataFrame
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     # each distinct host and path is judged once
     urls = parts.select("host", "path").distinct()
-    subject = F.concat_ws("\n", "host", "path")
+    # the first line break divides host and path; those of a host show as another control character
+    subject = F.concat_ws("\n", F.translate("host", "\n", HOST_BREAK), "path")
     # a host without a path can fit pattern rules for hosts as well; tokens are whole runs of letters and digits
     tokens = F.array_distinct(F.filter(F.split(F.lower(subject), TOKEN), lambda t: t != ""))
-    words = urls.withColumn("token", F.explode(tokens))
+    words = urls.withColumns({"subject": subject, "token": F.explode(tokens)})
     wanted = small_side(rules.select(F.explode("tokens").alias("token")).distinct(), SMALL_RULES * 4)
     counts = words.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     # the rarest token of each rule; one that no URL holds makes the rule's index entry unreachable, as it should
@@ -151,7 +153,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW) -> DataFrame
         # a token that most urls hold may index rules too: both sides meet in SALTS parts
         spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         candidates = words.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(spread, ["token", "salt"])
-    fits = candidates.filter(F.expr("rlike(if(cased, concat_ws('\\n', host, path), lower(concat_ws('\\n', host, path))), pattern)"))
+    fits = candidates.filter(F.expr("rlike(if(cased, subject, lower(subject)), pattern)"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("rank", (-F.col("rule_id")).alias("first"), "name", "rule_verdict")).alias("best"))
     judged = parts.join(best, ["host", "path"], "left")
     return judged.select("page_id", "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
