@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators import fulltext, packages, pairing
+from tracemill.operators import fulltext, migration, packages, pairing
 from tracemill.operators.storage import shared_folder
 from tracemill.sources import transcripts
 
@@ -137,6 +137,15 @@ def _packaged(t: Tables, twice: bool = True) -> dict[str, DataFrame]:
     return packages.merged(once, package, "there", "ann") if twice else once
 
 
+def _migrated(t: Tables) -> DataFrame:
+    """Users' events as sessions; the new reading has lost one row in 40 of each, and every fifth of some, whose old rows stay."""
+    old = {"messages": t("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("uuid"), F.lit("old").alias("content"), "user_id")}
+    lost = (F.col("uuid") % 40 == 0) | ((F.col("user_id") % 3 == 0) & (F.col("uuid") % 5 == 0))
+    new = {"messages": old["messages"].filter(~lost).withColumn("content", F.lit("new"))}
+    after, _ = migration.guarded_swap(old, new, {"messages": ["uuid"]}, F.col("user_id") % 2 == 0)
+    return after["messages"].groupBy("session_id", "content").agg(F.count("*").alias("rows"), F.max("uuid").alias("last"))
+
+
 _SENT = """, c AS (SELECT *, id % 3 = 0 AS here, id % 2 = 0 AS sent FROM tool_calls), u AS (SELECT *, id % 3 = 0 AS here, id % 2 = 0 AS sent, input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens AS t FROM token_usage) """
 
 _WORDS = ", words AS (SELECT session_id, seq, list_filter(regexp_split_to_array(strip_accents(lower(content)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM messages) "
@@ -160,6 +169,8 @@ REPORTS: tuple[Report, ...] = (
     Report("rpl_ingest_sessions", lambda t: _packaged(t)["sessions"].select("session_id", "ts_raw", "total_tokens", "message_count"), ("token_usage", "tool_calls"), _SENT + "SELECT session_id, coalesce(min(ts_raw) FILTER (here), min(ts_raw) FILTER (sent)) AS ts_raw, CASE WHEN count(*) FILTER (sent) > 0 THEN CAST(sum(t) FILTER (here OR sent) AS BIGINT) ELSE -1 END AS total_tokens, CASE WHEN count(*) FILTER (sent) > 0 THEN 1 ELSE -1 END AS message_count FROM u WHERE here OR sent GROUP BY 1"),
     Report("rpl_ingest_calls", lambda t: _packaged(t)["tool_calls"].groupBy("session_id", "family").agg(F.count("*").alias("calls"), F.sum("is_error").alias("errors"), F.count("is_error").alias("measured"), F.count("cmd_name").alias("named"), F.count("kind").alias("kinds")), ("token_usage", "tool_calls"), _SENT + "SELECT session_id, family, count(*) AS calls, CAST(sum(CASE WHEN here AND NOT sent AND id % 4 = 0 THEN NULL ELSE is_error END) AS BIGINT) AS errors, count(CASE WHEN here AND NOT sent AND id % 4 = 0 THEN NULL ELSE is_error END) AS measured, count(*) FILTER (NOT here AND family = 'bash') AS named, count(*) FILTER (NOT here AND family = 'mcp') AS kinds FROM c WHERE here OR sent GROUP BY 1, 2"),
     Report("rpl_ingest_sources", lambda t: _packaged(t)["session_sources"].select("session_id", "source"), ("token_usage", "tool_calls"), _SENT + "SELECT session_id, CASE WHEN count(*) FILTER (here) = 0 THEN 'codex_vscode' WHEN min(id) FILTER (here) % 2 = 1 THEN 'web' WHEN count(*) FILTER (sent) > 0 THEN 'codex_vscode' ELSE 'codex_cli' END AS source FROM u WHERE here OR sent GROUP BY 1"),
+    Report("grf_cowork_migrate", _migrated, _ONE, """, e AS (SELECT concat('u', user_id) AS session_id, event_id, user_id % 2 = 0 AS scope, event_id % 40 = 0 OR (user_id % 3 = 0 AND event_id % 5 = 0) AS lost FROM events),
+d AS (SELECT session_id, bool_and(scope) AND count(*) FILTER (NOT lost) >= count(*) * 0.95 AS swap FROM e GROUP BY 1) SELECT session_id, CASE WHEN swap THEN 'new' ELSE 'old' END AS content, count(*) AS rows, max(event_id) AS last FROM e JOIN d USING (session_id) WHERE NOT (swap AND lost) GROUP BY 1, 2"""),
     Report("sch_fts_index", lambda t: _indexed(t, '"the in" OR de NOT un* OR the is'), _ONE, _WORDS + "SELECT session_id, seq FROM words WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' the in ') OR (list_contains(w, 'de') AND len(list_filter(w, lambda x: starts_with(x, 'un'))) = 0) OR (list_contains(w, 'the') AND list_contains(w, 'is'))"),
 )
 

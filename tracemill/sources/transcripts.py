@@ -13,6 +13,8 @@ from tracemill.functions import commands
 from tracemill.functions.text import json_blocks, rollout_source, split_mcp, tool_kind
 from tracemill.operators.scan import running
 
+from . import rendering
+
 _USAGE = "input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long"
 SESSION_RECORD = f"type string, sessionId string, timestamp string, uuid string, version string, cwd string, gitBranch string, agentId string, summary string, aiTitle string, customTitle string, message struct<role:string,model:string,id:string,content:string,usage:struct<{_USAGE}>>"
 ROLLOUT_RECORD = "timestamp string, type string, payload struct<type:string,role:string,name:string,arguments:string,content:string,id:string,session_id:string,cwd:string,originator:string,model:string,info:struct<total_token_usage:map<string,long>,last_token_usage:map<string,long>>>"
@@ -156,9 +158,9 @@ def rollout_usage(filled: DataFrame) -> DataFrame:
 
 
 def chat_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of an export with `chat_messages` arrays: one row for each, its text blocks joined."""
-    schema = "uuid string, name string, chat_messages array<struct<uuid:string,sender:string,created_at:string,text:string,content:string>>"
+    """Messages of an export with `chat_messages` arrays: one row for each, rendered with its blocks, attachments and files."""
+    schema = f"uuid string, name string, chat_messages array<struct<uuid:string,sender:string,created_at:string,text:string,content:{rendering.CONTENT},attachments:{rendering.ATTACHMENTS},files:{rendering.FILES}>>"
     rows = spark.read.schema(schema).json(path, multiLine=True).select("uuid", "name", F.posexplode("chat_messages").alias("seq", "m"))
-    texts = F.array_join(F.transform(F.filter(json_blocks(F.nullif("m.content", F.lit("[]"))), lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "")
+    content = rendering.message_text(F.col("m.content"), F.col("m.text"), F.col("m.attachments"), F.col("m.files"))
     kind = F.when(F.col("m.sender") == "human", "user").otherwise("assistant")
-    return rows.select(F.concat(F.lit("claudeai:"), "uuid").alias("session_id"), "seq", kind.alias("type"), F.coalesce(F.nullif(F.trim(texts), F.lit("")), "m.text").alias("content"), F.col("m.created_at").alias("ts_raw"), F.concat(F.lit("claudeai:"), F.sha1(F.concat_ws("|", "uuid", "m.uuid"))).alias("uuid"))
+    return rows.select(F.concat(F.lit("claudeai:"), "uuid").alias("session_id"), "seq", kind.alias("type"), content.alias("content"), F.col("m.created_at").alias("ts_raw"), F.concat(F.lit("claudeai:"), F.sha1(F.concat_ws("|", "uuid", "m.uuid"))).alias("uuid"))
