@@ -88,3 +88,16 @@ def test_replies_in_one_long_session_take_linear_time(spark):
     total = rows.agg(F.count("*"), F.sum(F.col("end_us") - F.col("start_us"))).first()
     assert total[0] == 199_800 and total[1] == 200 * sum(range(1, 1000)) * 1_000_000
     assert time.perf_counter() - start < 60
+
+
+def test_user_detail_scans_each_fact_once(spark):
+    from tracemill.operators import reports
+
+    sessions_ = spark.createDataFrame([("a", 1, 7, 1, 5), ("b", 1, 8, 1, 6), ("a", 2, None, 1, 1)], "session_id string, user_id long, project_id long, host_id long, total_tokens long")
+    usage = spark.createDataFrame([(1, "m", "2024-01-07T05:00:00Z", 1, 2), (1, None, "2024-01-07T05:30:00Z", 3, 4)], "user_id long, model string, ts_raw string, input_tokens long, output_tokens long")
+    got = reports.user_detail(sessions_, usage)
+    rows = sorted((tuple(r) for r in got.select("user_id", "section", "project_id", "host_id", "model", "day", "hour", "sessions", "calls", "tokens").collect()), key=str)
+    assert rows == sorted([
+        (1, "projects", 7, None, None, None, None, 1, None, 5), (1, "projects", 8, None, None, None, None, 1, None, 6), (2, "projects", None, None, None, None, None, 1, None, 1), (1, "hosts", None, 1, None, None, None, 2, None, 11), (2, "hosts", None, 1, None, None, None, 1, None, 1),
+        (1, "models", None, None, "m", None, None, None, 1, 3), (1, "models", None, None, None, None, None, None, 1, 7), (1, "heatmap", None, None, None, 0, 5, None, 2, None)], key=str)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2

@@ -55,6 +55,10 @@ REPORTS: tuple[Report, ...] = (
     Report("agg_rollup_tail", lambda t: reports.bash_by_type(_calls(t), 5).select("cmd_type", "count"), CALLS, """, n AS (SELECT cmd_name, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, cmd_name) AS place FROM tool_calls WHERE family = 'bash' GROUP BY 1) SELECT CASE WHEN place <= 5 THEN cmd_name ELSE 'other' END AS cmd_type, CAST(sum(c) AS BIGINT) AS "count" FROM n GROUP BY 1"""),
     Report("rep_bash_like_ladder", lambda t: t("documents").select(F.concat_ws(" ", F.element_at(F.array(*map(F.lit, (*reports.LADDER, "git", "lsx"))), (F.col("doc_id") % 20 + 1).cast("int")), F.when(F.col("doc_id") % 3 != 0, "x")).alias("c")).groupBy(reports.command_ladder(F.col("c")).alias("kind")).count(), (), f"""WITH c AS (SELECT {[*reports.LADDER, 'git', 'lsx']}[doc_id % 20 + 1] AS w, doc_id % 3 <> 0 AS more FROM documents) SELECT CASE WHEN w IN ('git', 'lsx') OR (NOT more AND w NOT IN ('ls', 'tree')) THEN 'other' ELSE w END AS kind, count(*) AS "count" FROM c GROUP BY 1"""),
     Report("rep_insights", lambda t: reports.insights(*[f(t("token_usage"), t("pricing")) for f in (reports.work_by_hour, reports.work_by_weekday, reports.work_by_complexity)], reports.cache_trend(t("token_usage")), reports.cost_per_call(t("token_usage"), t("pricing")), reports.source_comparison(t("token_usage"), t("pricing"), t("session_sources")))),
+    Report("rep_user_detail", lambda t: reports.user_detail(t("sessions"), t("token_usage")), ("sessions",), f"""SELECT user_id, 'projects' AS section, project_id, NULL AS host_id, count(DISTINCT session_id) AS sessions, CAST(sum(total_tokens) AS BIGINT) AS tokens, NULL AS model, NULL AS day, NULL AS hour, NULL AS calls FROM sessions GROUP BY user_id, project_id
+  UNION ALL SELECT user_id, 'hosts', NULL, host_id, count(DISTINCT session_id), CAST(sum(total_tokens) AS BIGINT), NULL, NULL, NULL, NULL FROM sessions GROUP BY user_id, host_id
+  UNION ALL SELECT user_id, 'models', NULL, NULL, NULL, CAST(sum(input_tokens + output_tokens) AS BIGINT), model, NULL, NULL, count(*) FROM token_usage GROUP BY user_id, model
+  UNION ALL SELECT user_id, 'heatmap', NULL, NULL, NULL, NULL, NULL, CAST(dayofweek(CAST({_DAY} AS DATE)) AS INT), {_HOUR}, count(*) FROM token_usage GROUP BY user_id, CAST(dayofweek(CAST({_DAY} AS DATE)) AS INT), {_HOUR}"""),
     # windows
     Report("win_cumulative_cost", lambda t: reports.session_profile(t("token_usage"), t("pricing")).groupBy(*_KEYS).agg(F.max("cumulative_cost").alias("last")), USAGE, _PRICED + "SELECT session_id, project_id, round(round(sum(cost), 12) + 1e-13, 4) AS last FROM priced GROUP BY 1, 2"),
     Report("win_phase_thirds", lambda t: reports.session_profile(t("token_usage"), t("pricing")).groupBy("phase").count(), USAGE, """, n AS (SELECT session_id, project_id, count(*) AS n FROM token_usage GROUP BY 1, 2), p AS (SELECT n, greatest(n // 3, 1) AS third FROM n)
