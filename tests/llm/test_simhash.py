@@ -87,3 +87,22 @@ def test_components_of_a_long_path_and_a_star(spark):
     rows = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(50)] + [(5, 5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def test_no_side_of_a_join_is_built_on_the_driver(spark, monkeypatch):
+    """Sides that grow with the corpus fit a broadcast here, and would on a driver that has no room for them."""
+    plans = []
+
+    def noted(df):
+        out = df.checkpoint()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(S, "checkpointed", noted)
+    monkeypatch.setattr("tracemill.llm.components.checkpointed", noted)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 30 + i % 3] + [f"v{i % 7}"])) for i in range(40)], "doc_id long, text string")
+    noted(S.near_duplicates(docs))
+    noted(S.drop_near_duplicates(docs))
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not [p for p in plans if "Broadcast" in p]

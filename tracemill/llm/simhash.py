@@ -7,6 +7,8 @@ at most two bits, some z lies within one bit of both; the anchor that covers z i
 So it is enough to replicate each fingerprint to every anchor within the covering radius plus the half of the threshold
 (each of the two fingerprints goes half of the way): 16.5 anchors a half on average. Fingerprints are compared per
 anchor, and each anchor only reports a spanning forest of its links, never all pairs.
+
+All joins are told to merge: their sides grow with the corpus, and a side that Spark broadcasts is built on the driver.
 """
 
 from __future__ import annotations
@@ -182,7 +184,7 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) ->
     spread = prints.select("fp").distinct().mapInArrow(_replicate, "anchor long, fp long")
     # anchors with one fingerprint have nothing to compare; those beyond a block are cut into pairs of blocks
     sizes = spread.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = spread.join(sizes, "anchor").withColumn("blocks", F.ceil(F.col("n") / block))
+    sized = spread.join(sizes.hint("merge"), "anchor").withColumn("blocks", F.ceil(F.col("n") / block))
     own = F.pmod(F.xxhash64("fp"), "blocks")
     cells = sized.select("anchor", "fp", "blocks", own.alias("own")).withColumn(
         "pair", F.explode(F.expr("transform(sequence(0L, blocks - 1), o -> struct(least(o, own) * blocks + greatest(o, own) as cell, if(own > o, 1, 0) as side))"))
@@ -209,17 +211,17 @@ def grouped(docs: DataFrame, threshold: int, shingle: int, block: int) -> tuple[
     prints = checkpointed(with_fingerprint(docs, "text", "fp", ["doc_id"], shingle))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     members = checkpointed(connected_components(links(prints, threshold, block)))  # node, root: only linked fingerprints
-    linked = firsts.join(members.withColumnRenamed("node", "fp"), "fp")
+    linked = firsts.join(members.withColumnRenamed("node", "fp").hint("merge"), "fp")
     # a linked group may hold a third of all fingerprints: its smallest id comes back in SALTS parts
     least = linked.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"])
-    alone = firsts.join(members.select(F.col("node").alias("fp")), "fp", "left_anti")
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least.hint("merge"), ["root", "salt"])
+    alone = firsts.join(members.select(F.col("node").alias("fp")).hint("merge"), "fp", "left_anti")
     roots = salted.select("fp", "root", "component_id").unionByName(alone.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id")))
     return prints, checkpointed(roots)
 
 
 def _with_roots(prints: DataFrame, roots: DataFrame) -> DataFrame:
-    return prints.join(roots, "fp")
+    return prints.join(roots.hint("merge"), "fp")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -234,12 +236,12 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: i
     stay = best.select(F.col("doc_id").alias(id_), F.col("fp").alias(mine))
     on = lambda df: F.col("doc_id").eqNullSafe(F.col(id_)) & (df[fp] == F.col(mine))
     full = with_fingerprint(docs.withColumn(text, F.col("text")), text, fp, names, shingle)
-    kept = full.join(stay, on(full), "left_semi")
+    kept = full.join(stay.hint("merge"), on(full), "left_semi")
     # repeated rows: several rows with the winner's id and fingerprint; only those need a second look
     again = prints.groupBy(F.col("doc_id").alias("other"), F.col("fp").alias("other_fp")).count().filter("count > 1")
-    repeated = stay.join(again, F.col("other").eqNullSafe(F.col(id_)) & (F.col("other_fp") == F.col(mine)), "left_semi")
+    repeated = stay.join(again.hint("merge"), F.col("other").eqNullSafe(F.col(id_)) & (F.col("other_fp") == F.col(mine)), "left_semi")
     if repeated.isEmpty():
         return kept.select(*[F.col(f"`{c}`") for c in names])
-    once = kept.join(repeated, on(kept), "left_anti")
-    many = kept.join(repeated, on(kept), "left_semi").dropDuplicates(["doc_id", fp])
+    once = kept.join(repeated.hint("merge"), on(kept), "left_anti")
+    many = kept.join(repeated.hint("merge"), on(kept), "left_semi").dropDuplicates(["doc_id", fp])
     return once.unionByName(many).select(*[F.col(f"`{c}`") for c in names])
