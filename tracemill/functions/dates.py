@@ -19,9 +19,9 @@ def _instant(text: Column, zone: str = "UTC") -> Column:
 
 
 def iso(instant: Column) -> Column:
-    """YYYY-MM-DDTHH:MM:SS.mmmZ, which sorts as time does."""
+    """YYYY-MM-DDTHH:MM:SS.mmmZ, which sorts as time does up to the year 9999; later years have more digits, but no sign."""
     utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
-    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.ltrim(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("+"))
 
 
 def since(text: Column) -> Column:
