@@ -46,3 +46,15 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["fn_epoch_iso", "ing_get_or_create_dim"])
+def test_against_sql_with_large_ids(spark, tmp_path, name):
+    """Ids of larger tables: events beyond the year 9999 and users beyond 10,000."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"COPY (SELECT event_id + k * 3000000 AS event_id, ts, user_id + k * 9000 AS user_id, event_type, value, props FROM '{SF}/events.parquet', range(3) r(k)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(registry.ORACLE_SQL[name])
+    assert _rows(got.columns, got.collect()) == _rows([d[0] for d in want.description], want.fetchall())

@@ -172,7 +172,7 @@ SELECT a.session_id, CASE WHEN h.session_id IS NULL THEN agent_id END AS agent_i
 FROM agents a LEFT JOIN husks h USING (session_id, project_id) LEFT JOIN counts c USING (session_id) LEFT JOIN spent p USING (session_id)"""),
     Report("join_mapping_lookup", lambda t: sessions.mentioned_parents(t("chat_log").withColumn("content", F.concat(F.lit("see agent-"), F.lower(F.hex(F.col("seq") * 7)), F.lit(".jsonl and agent-zz.jsonl")))), ("chat_log",), """, named AS (SELECT project_id, session_id, seq, ts_raw, lower(to_hex(seq * 7)) AS agent_id FROM chat_log)
 SELECT project_id, agent_id, session_id AS parent FROM named QUALIFY row_number() OVER (PARTITION BY project_id, agent_id ORDER BY ts_raw, session_id, seq) = 1"""),
-    Report("ing_get_or_create_dim", lambda t: sessions.dimension(t("people").withColumn("last_seen", F.lit("2024-01-01")), t("token_usage").select(F.concat(F.lit("user"), "user_id").alias("name"), "ts_raw").withColumnRenamed("ts_raw", "seen")).select("name", F.col("id").between(0, 10_000).alias("old"), "last_seen"), ("token_usage", "people"),
+    Report("ing_get_or_create_dim", lambda t: sessions.dimension(t("people").withColumn("last_seen", F.lit("2024-01-01")), t("token_usage").select(F.concat(F.lit("user"), "user_id").alias("name"), "ts_raw").withColumnRenamed("ts_raw", "seen")).select("name", (F.col("id") == F.substring("name", 5, 20).cast("long")).alias("old"), "last_seen"), ("token_usage", "people"),
            "SELECT concat('user', user_id) AS name, user_id % 3 <> 0 AS old, max(ts_raw) AS last_seen FROM token_usage GROUP BY ALL"),
     Report("ing_source_upsert", lambda t: sessions.upsert_sources(t("session_sources").withColumn("client_version", F.lit("")).withColumn("meta_json", F.lit(None).cast("string")), t("sessions").select("session_id", "project_id", F.lit("seen").alias("source"), F.concat(F.lit("v"), F.col("user_id") % 2).alias("client_version"), F.lit("{}").alias("meta_json"), F.lit(1).alias("at")), ("cli",)), ("session_sources", "sessions"),
            "SELECT session_id, project_id, CASE WHEN ss.source IS NULL OR ss.source = 'cli' THEN 'seen' ELSE ss.source END AS source, concat('v', user_id % 2) AS client_version, '{}' AS meta_json FROM sessions LEFT JOIN session_sources ss USING (session_id, project_id)"),
