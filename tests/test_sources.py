@@ -1,4 +1,5 @@
 import json
+import os
 
 from tracemill.sources import transcripts as T
 from tracemill.streaming import ingest
@@ -119,3 +120,34 @@ def test_rollout_of_many_splits(spark, tmp_path):
     assert cut[1:] == whole[1:]
     assert [n for n, *_ in whole[1]] == [i + 1 for i, r in enumerate(records) if r != "{broken"]
     assert cut[2] == expected
+
+
+def test_packs_read_like_single_files(spark, tmp_path):
+    """Logs in packs that are read in many splits: the same lines, numbers and carried values as from one file each."""
+    rows = []
+    for user in range(40):
+        rows.append((user, 0, '{"type": "session_meta", "payload": {"id": "u%d"}}' % user))
+        for k in range(1, 5 + user * 7 % 90):
+            rows.append((user, k, "" if k % 11 == 5 else "no record" if k % 13 == 7 else '{"type": "turn_context", "payload": {"model": "m%d"}}' % k if k % 17 == 3 else '{"type": "event_msg", "timestamp": "%d"}' % k))
+    logs = spark.createDataFrame(rows, "user long, at long, value string")
+    T.packed(logs.repartition(5), "user", ["at"], str(tmp_path / "packs"))
+    packs = list((tmp_path / "packs").glob("*.txt"))
+    assert len(packs) <= 8
+    for user in range(40):
+        (tmp_path / f"{user}.jsonl").write_text("".join(f"{v}\n" for u, _, v in rows if u == user))
+    wanted = T.rollout(T.lines(spark, str(tmp_path), T.ROLLOUT_RECORD)).select("session_id", "line_no", "type", "timestamp", "model").collect()
+    for size in (700, 5_000, 1_000_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = T.rollout(T.packed_lines(spark, str(tmp_path / "packs"), T.ROLLOUT_RECORD)).select("session_id", "line_no", "type", "timestamp", "model").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(map(str, got)) == sorted(map(str, wanted))
+
+
+def test_many_small_logs_cost_few_files(spark, tmp_path):
+    from tracemill.plans import ingest_catalogue
+
+    logs = spark.range(3000).selectExpr("id % 1000 AS user", "id AS at", "'{}' AS value")
+    folder = ingest_catalogue._logs(logs, "user", ["at"]).removeprefix("file:")
+    assert sum(len([n for n in names if not n.startswith((".", "_"))]) for _, _, names in os.walk(folder)) <= 8

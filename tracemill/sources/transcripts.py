@@ -5,6 +5,11 @@ by split first and then over the splits of a file, so that no task ever sees a w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -12,6 +17,7 @@ from pyspark.sql.window import WindowSpec
 from tracemill.functions import commands
 from tracemill.functions.text import json_blocks, rollout_source, split_mcp, tool_kind
 from tracemill.operators.scan import running
+from tracemill.operators.storage import written
 
 from . import rendering
 
@@ -24,9 +30,8 @@ FILE_TOOLS, SEARCH_TOOLS, SPAWN_TOOLS = ("Read", "Write", "Edit"), ("Grep", "Glo
 TITLES = (("customTitle", 3), ("aiTitle", 2), ("summary", 1))
 
 
-def lines(spark: SparkSession, path: str, record: str, modified_after: str | None = None, glob: str = "*.jsonl") -> DataFrame:
-    """file, block (where the split begins), line_no (from 1, counting all lines of the file) and the fields of each record below
-    `path` in files named like `glob`; blank and malformed lines are skipped."""
+def _numbered(spark: SparkSession, path: str, glob: str, modified_after: str | None = None) -> DataFrame:
+    """file, block (where the split begins), line_no (from 1) and value of each line below `path` in files named like `glob`."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
@@ -34,8 +39,70 @@ def lines(spark: SparkSession, path: str, record: str, modified_after: str | Non
     # lines of a split follow each other in `row`; one row for each split tells where it starts and how many lines come before
     splits = raw.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(_earlier_splits()), F.lit(0)).alias("before"))
-    good = raw.filter(F.rlike("value", F.lit(r"^\s*\{.*\}\s*$"))).withColumn("r", F.from_json("value", record)).filter("r.type is not null")
-    return good.join(splits, ["file", "block"]).select("file", "block", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"), "r.*")
+    return raw.join(splits, ["file", "block"]).select("file", "block", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"), "value")
+
+
+def _parsed(rows: DataFrame, record: str) -> DataFrame:
+    good = rows.filter(F.rlike("value", F.lit(r"^\s*\{.*\}\s*$"))).withColumn("r", F.from_json("value", record)).filter("r.type is not null")
+    return good.select("file", "block", "line_no", "r.*")
+
+
+def lines(spark: SparkSession, path: str, record: str, modified_after: str | None = None, glob: str = "*.jsonl") -> DataFrame:
+    """file, block (where the split begins), line_no (from 1, counting all lines of the file) and the fields of each record below
+    `path` in files named like `glob`; blank and malformed lines are skipped."""
+    return _parsed(_numbered(spark, path, glob, modified_after), record)
+
+
+def packed(logs: DataFrame, by: str, order: list[str], path: str) -> None:
+    """Write `logs` (by, order, value) as packs: the lines of each log, in order, below a line that names it. There are as many
+    packs as the data need, not as there are logs, so that many small logs cost no file each."""
+    name = F.concat(F.lit("==> "), F.coalesce(F.col(by).cast("string"), F.lit("")), F.lit(" <=="))
+    rows = logs.select(by, F.lit(True).alias("line_"), *order, "value")
+    heads = logs.select(by).distinct().select(by, F.lit(False).alias("line_"), *[F.lit(None).cast(logs.schema[c].dataType).alias(c) for c in order], name.alias("value"))
+    rows.unionByName(heads).repartition(by).sortWithinPartitions(by, "line_", *order).select("value").write.text(path)
+
+
+def packed_lines(spark: SparkSession, path: str, record: str, glob: str = "*.txt") -> DataFrame:
+    """Like `lines`, of packs (see `packed`): file is the pack's and the log's name, and lines count from 1 in each log. A pack
+    is read by split like any file, in the order of its lines; a log may go on over several splits, and gets from those before
+    where it began."""
+    head = F.when(F.rlike("value", F.lit(r"^==> .* <==$")), F.regexp_extract("value", r"^==> (.*) <==$", 1))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", head.alias("log"))
+    rows = written(raw.mapInArrow(_held_within, "file string, block long, value string, log string, n long, head long"), "lines")
+    ends = rows.groupBy("file", "block").agg(F.max("n").alias("n"), F.max_by(F.struct("log", "head"), "n").alias("e"))
+    ends = ends.withColumn("before", F.coalesce(F.sum("n").over(_earlier_splits()), F.lit(0)))
+    last = lambda c: F.last(c, ignorenulls=True).over(_earlier_splits())
+    given = ends.select("file", "block", "before", last(F.col("e.log")).alias("log_before"), last(F.col("e.head") + F.col("before")).alias("head_before"))
+    own = F.col("log").isNotNull()
+    line_no = F.when(own, F.col("n") - F.col("head")).otherwise(F.col("n") + F.col("before") - F.col("head_before"))
+    # one row for each split, of which there are as many as megabytes
+    logs = rows.join(F.broadcast(given), ["file", "block"]).select(F.concat_ws("#", "file", F.coalesce("log", "log_before")).alias("file"), "block", line_no.alias("line_no"), "value")
+    return _parsed(logs.filter("line_no > 0"), record)
+
+
+def _held_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, block, value, log) in their order, with the log that holds at each since its split began, the number of the
+    line in the split (n), and that of the line which names the log (head)."""
+    split, count, log, head = None, 0, None, None
+    for b in batches:
+        at = np.arange(b.num_rows)
+        file, block, named = b.column(0), np.asarray(b.column(1)), b.column(3)
+        new = np.ones(b.num_rows, bool)
+        new[1:] = (block[1:] != block[:-1]) | np.asarray(pc.not_equal(file.slice(1), file.slice(0, max(b.num_rows - 1, 0))))
+        cuts = [*np.flatnonzero(new).tolist(), b.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if (now := (file[a].as_py(), int(block[a]))) != split:
+                split, count, log, head = now, 0, None, None
+            names = named.slice(a, z - a)
+            place = np.maximum.accumulate(np.where(np.asarray(names.is_valid()), at[: z - a], -1))
+            inside = place >= 0
+            k = int((~inside).sum())  # they are the first rows
+            logs = pa.concat_arrays([pa.repeat(pa.scalar(log, pa.string()), k), names.take(pa.array(place[k:]))])
+            n = count + 1 + at[: z - a]
+            heads = pa.concat_arrays([pa.repeat(pa.scalar(head, pa.int64()), k), pa.array(n[place[k:]], pa.int64())])
+            count, log, head = int(n[-1]), logs[-1].as_py(), heads[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*[c.slice(a, z - a) for c in b.columns[:3]], logs, pa.array(n, pa.int64()), heads], ["file", "block", "value", "log", "n", "head"])
 
 
 def _earlier_splits() -> WindowSpec:
@@ -140,6 +207,7 @@ def rollout_usage(filled: DataFrame) -> DataFrame:
     rows = filled.filter((F.col("type") == "event_msg") & (F.col("payload.type") == "token_count")).select(
         "file", "line_no", "session_id", "source", "model", "cwd", F.col("timestamp").alias("ts_raw"), known(F.col("payload.info.total_token_usage")).alias("total"), known(F.col("payload.info.last_token_usage")).alias("last")
     )
+    rows = written(rows, "counts")  # both scans deal them out by ranges, which reads them twice
     parsed = lambda c: F.from_json(c, "map<string,long>")
     totals = running(rows.filter("total is not null"), ["file"], [F.col("line_no")], "nth", lags={"previous": "total"})
     now, then = parsed(F.col("total")), F.coalesce(parsed(F.col("previous")), F.create_map().cast("map<string,long>"))
