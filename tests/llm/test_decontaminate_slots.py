@@ -61,3 +61,41 @@ def test_other_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "p q r s t u v", 5, 6, "k"), (2, ITEM, 7, 8, "k")], "doc_id long, text string, row_of_text int, row_to_drop int, row string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert [tuple(r) for r in D.decontaminated(docs, bench).collect()] == [(1, "p q r s t u v", 5, 6, "k")]
+
+
+def test_sieve_keeps_every_text_with_a_window_of_the_benchmark_and_few_others():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tracemill.llm import decontaminate as D
+
+    rng = random.Random(5)
+    words = ["of", "a", "in", "été", "Éta", "km", "5", "12km", "Anna", "runs", "IT", "x.y", "***", "it's", "fast,", "home.", "ß", "²", "%", "|", "McCoy", "—", "7", "s"]
+    bench = [" ".join(rng.choices(words, k=rng.randint(5, 20))) for _ in range(25)]
+    batch = pa.RecordBatch.from_arrays([pa.array(bench)], ["text"])
+    known = D._filter_of(np.unique(np.concatenate([b.column(0).to_numpy() for b in D._known(D.WINDOW)(iter([batch]))])).tolist(), 20)
+    templates = D.Templates()
+    windows = np.concatenate([templates.windows(h) for starts in (True, False) for _, _, h in templates.read([*bench, *words], starts)])
+    docs = ["", " \n", *words]
+    for _ in range(4000):
+        parts = rng.choice(bench).split(" ")
+        at = rng.randrange(len(parts))
+        some = parts[at : at + rng.randint(1, 9)]
+        for _ in range(rng.randint(0, 2)):
+            some.insert(rng.randrange(len(some) + 1), rng.choice([*words, "\x85", " ", "zzz", "…"]))
+        text = rng.choice([" ", " ", "\n", "\xa0", "\x1c"]).join(some)
+        docs.append("".join(rng.choice([c] * 9 + [c.upper(), c + "."]) for c in text))
+    kept = set()
+    for start in range(0, len(docs), 50):
+        kept |= {start + i for i in D.sieve(pa.array(docs)[start : start + 50], known).tolist()}
+    need = {i for i, (_, _, h) in enumerate(templates.read(docs)) if len(h) >= D.WINDOW and np.isin(templates.windows(h), windows).any()}
+    assert len(need) > 300 and need <= kept
+    short = {i for i, (_, _, h) in enumerate(templates.read(docs)) if 0 < len(h) < D.WINDOW and np.isin(templates.windows(h), windows).any()}
+    known = D._filter_of(np.concatenate([b.column(0).to_numpy() for b in D._known(D.WINDOW)(iter([pa.RecordBatch.from_arrays([pa.array([*bench, *words])], ["text"])]))]).tolist(), 20)
+    found = {start + i for start in range(0, len(docs), 50) for i in D.sieve(pa.array(docs[start : start + 50]), known).tolist()}
+    assert short and short <= found
+    # word salad of known words, in small letters, is left out
+    salad = [" ".join(rng.choices(["of", "a", "in", "été", "km", "runs", "zzz"], k=60)) for _ in range(200)]
+    assert len(D.sieve(pa.array(salad), known)) < 100

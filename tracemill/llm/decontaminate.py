@@ -22,9 +22,10 @@ from .common import checkpointed, unused
 
 WINDOW = 5
 SHARE = 0.8
-#: The filter of benchmark windows that goes to every task has about 16 bits for each, 2**20 at least and 2**28 (32 MB) at most.
+#: The filters of benchmark windows and of pieces that go to every task have about 16 bits for each, 2**20 at least and 2**28 (32 MB) at most.
 LEAST_BITS, MOST_BITS = 20, 28
-WORDS_KEPT = 500_000
+#: Distinct words that a worker remembers before it starts anew.
+WORDS_KEPT = 200_000
 
 # Units of measure and currency signs, as they are written after or before numbers.
 UNITS = frozenset("""
@@ -206,6 +207,162 @@ class Templates:
         return out
 
 
+# Bytes of UTF-8 by what they can be in a template. Letters are those of ASCII and of Latin-1 (0xC3 and what follows it);
+# what stands in no set, like other leading bytes, may be anything.
+_SPACES, _LOW, _STOPS = b"\t\n\v\f\r\x1c\x1d\x1e\x1f ", bytes(range(97, 123)), b".,;:!?"
+_LATIN, _LATIN_CAPITALS = bytes([0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]), bytes([*range(0x80, 0x97), *range(0x98, 0x9F)])
+
+
+_STOP, _CAPITAL, _ODD, _LETTER, _DIGIT, _ONE = (1 << i for i in range(6))
+#: Letters and digits begin a piece where none of their kind goes before; what is _ONE is a piece or less by itself.
+_KINDS = np.zeros(256, np.uint8)
+for _kind, _members in (
+    (_STOP, _STOPS), (_CAPITAL, _LOW.upper() + _LATIN_CAPITALS), (_LETTER, _LOW + _LOW.upper() + _LATIN + _LATIN_CAPITALS), (_DIGIT, b"0123456789"),
+    (_ONE, b"%$" + bytes(range(0xC0, 0xC3)) + bytes(range(0xC4, 0x100))), (_ODD, bytes(set(range(256)).difference(_SPACES, _STOPS, _LOW, _LOW.upper(), _LATIN, _LATIN_CAPITALS))),
+):
+    _KINDS[list(_members)] |= _kind
+_KINDS = _KINDS.tobytes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of words: of their first and last eight bytes and their length. `data` has eight bytes more than the words."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+    short = np.minimum(lengths, 8).astype(np.uint64)
+    head = eight[starts] << (np.uint64(64) - np.uint64(8) * np.maximum(short, np.uint64(1)))
+    tail = eight[starts + np.maximum(lengths - 8, 0)]
+    return _mixed(_mixed(head) + np.where(lengths > 8, tail, np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15) + lengths.astype(np.uint64))
+
+
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mixed(a * np.uint64(0xD6E8FEB86659FD93) + b)
+
+
+def _row_keys(keys: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """A hash of as many neighbouring pieces as a window has, from each start."""
+    out = np.full(len(starts), 7, np.uint64)
+    for i in range(window):
+        out = _pair_keys(out, keys[starts + i])
+    return out
+
+
+def _keys_of(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    return _keys(np.frombuffer(b"".join(raw) + bytes(8), np.uint8), np.cumsum(lengths) - lengths, lengths)
+
+
+_UNIT_KEYS = np.zeros(1 << 16, bool)
+_UNIT_KEYS[(_keys_of(sorted(UNITS)) >> np.uint64(48)).astype(np.int64)] = True
+
+
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter may have each hash."""
+    top = hashes >> np.uint64(61 - (len(bits) - 1).bit_length())
+    return (bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def sieve(texts: pa.Array, known: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Numbers of the texts that may have a window of the benchmark; `known` is the filter of its literal pieces and of the
+    pairs of neighbours among them. A word of small letters with stops behind it is one literal piece, unless it is a unit behind
+    a number; so is one with capitals that begins a sentence or is all capitals, and else it is a name. No window goes over a literal
+    piece that is not known, or over two neighbours that are no known pair. What lies between such places needs as many
+    pieces as a window has, or must be the whole text; the pieces of other words are counted so that there are no more."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    low, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    at = offsets - low
+    data = np.zeros(size + 8, np.uint8)
+    data[:size] = np.frombuffer(texts.buffers()[2], np.uint8)[low : low + size] if size else 0
+    kinds = np.frombuffer(data[:size].tobytes().translate(_KINDS), np.uint8)
+    word = kinds != 0
+    border = np.zeros(size + 1, bool)
+    border[at] = True
+    inside = word[1:] & word[:-1] & ~border[1:-1]  # whether a word goes on
+    starts, ends = word.copy(), word.copy()
+    starts[1:] &= ~inside
+    ends[:-1] &= ~inside
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    per_word = lambda x: np.add.reduceat(x, starts, dtype=np.int32)  # noqa: E731  blanks between words count nothing
+    stop, capital = kinds & _STOP, kinds & _CAPITAL
+    odd = (kinds & _ODD).astype(bool)
+    odd[:-1] |= inside & stop[:-1].astype(bool) & ~stop[1:].astype(bool)
+    lengths = ends - starts - per_word(stop.astype(bool))
+    simple = (per_word(odd) == 0) & (lengths > 0)
+    text = np.searchsorted(at, starts, "right") - 1
+    new = np.concatenate(([True], text[1:] != text[:-1]))
+    # what a simple word with capitals is, or a unit, is sure if the word before is simple or there is none in its line
+    capitals = per_word(capitals_of := capital.astype(bool))
+    lines = np.concatenate(([0], np.cumsum(data[:size] == 10, dtype=np.int32)))[starts]
+    last = data[ends - 1]
+    opens = np.concatenate(([True], (last[:-1] != 44) & (kinds[ends[:-1] - 1] & _STOP > 0) | (lines[1:] > lines[:-1]))) | new
+    sure = new | np.concatenate(([True], simple[:-1])) | np.concatenate(([True], lines[1:] > lines[:-1]))
+    letters = lengths - per_word(data[:size] == 0xC3)
+    shouted = (capitals == letters) & (letters > 1)
+    literal = simple & ((capitals == 0) | shouted | opens & sure)
+    data[:size][capitals_of] += 32
+    keys = _keys(data, starts, np.where(literal, lengths, 1))
+    literal &= sure | ~_UNIT_KEYS[(keys >> np.uint64(48)).astype(np.int64)]
+    begun = (kinds & (_LETTER | _DIGIT)).astype(np.uint8)
+    begun[1:] &= ~np.where(inside, begun[:-1], 0).astype(np.uint8)
+    pieces = np.where(simple, 1, per_word((begun | kinds & _ONE) > 0))
+    # words without pieces are as if they were not there
+    some = pieces > 0
+    if not some.any():
+        return np.zeros(0, np.int64)
+    literal, keys, pieces, text = literal[some], keys[some], pieces[some], text[some]
+    new = np.concatenate(([True], text[1:] != text[:-1]))
+    dead = literal & ~_has(known, keys)
+    broken = np.concatenate(([False], dead[1:] | dead[:-1] | literal[1:] & literal[:-1] & ~_has(known, _pair_keys(keys[:-1], keys[1:]))))
+    broken &= ~new
+    begins = np.flatnonzero(new | broken)
+    out = np.zeros(len(texts), bool)
+    out[text] = True
+    out[text[broken | dead]] = False
+    sums = np.add.reduceat(pieces, begins)
+    # a window of literal pieces alone must be known as a whole
+    where = np.flatnonzero(np.repeat(sums >= window, np.diff(begins, append=len(text))))
+    if len(where):
+        run = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(text)))[where]
+        upto = np.cumsum(pieces[where])
+        end = np.searchsorted(upto, upto - pieces[where] + window)
+        fits = end < len(where)
+        fits[fits] = run[end[fits]] == run[fits]
+        lit = np.concatenate(([0], np.cumsum(literal[where])))
+        alone = np.flatnonzero(fits)
+        alone = alone[lit[end[alone] + 1] - lit[alone] == end[alone] + 1 - alone]
+        fits[alone] = _has(known, _row_keys(keys[where], alone, window))
+        out[text[where[fits]]] = True
+    return np.flatnonzero(out)
+
+
+def _known(window: int):
+    """Hashes of the literal pieces of texts (column 0), of pairs of neighbours among them and of windows of nothing else,
+    however the texts begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Templates(window)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                found = []
+                for starts in (True, False):
+                    words, context, _ = templates.read([text], starts)[0]
+                    pieces = [p for w, c in zip(words, context.tolist(), strict=True) for p, _ in canonical(w, c == START, c == AFTER_NUMBER)]
+                    keys, literal = _keys_of(pieces), np.array([p[0] != "\x00" for p in pieces], bool)
+                    upto = np.concatenate(([0], np.cumsum(literal)))
+                    full = np.flatnonzero(upto[window:] - upto[:-window] == window)
+                    found += [keys[literal], _pair_keys(keys[:-1], keys[1:])[literal[1:] & literal[:-1]], _row_keys(keys, full, window)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["hash"])
+
+    return run
+
+
 def _filter_of(hashes: list[int], width: int) -> np.ndarray:
     bits = np.zeros(1 << (width - 3), np.uint8)
     h = np.array(hashes, np.int64).view(np.uint64) >> np.uint64(64 - width)
@@ -213,23 +370,26 @@ def _filter_of(hashes: list[int], width: int) -> np.ndarray:
     return bits
 
 
-def _windows(window: int, bits: np.ndarray | None, id_name: str):
-    """Rows (id, row, hash, position, n_windows, slots) of the windows that pass the filter. Without a filter (for the
-    benchmark), also the windows that result if the text is quoted within a sentence."""
+def _windows(window: int, bits: np.ndarray | None, id_name: str, known: np.ndarray | None = None):
+    """Rows (id, row, hash, position, n_windows, slots) of the windows that pass the filter; only texts that pass the sieve
+    are read. Without a filter (for the benchmark), also the windows that result if the text is quoted within a
+    sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(window)
         for b in batches:
             ids, keys, hashes, positions, totals, slots = [], [], [], [], [], []
             for start in range(0, b.num_rows, 64):  # few texts at once: they may be very long
-                docs, names, texts = (b.column(i).slice(start, 64).to_pylist() for i in range(3))
+                some = b.slice(start, 64)
+                if known is not None:
+                    some = some.take(pa.array(sieve(some.column(2), known, window)))
+                docs, names, texts = (some.column(i).to_pylist() for i in range(3))
                 for starts in (True, False) if bits is None else (True,):
                     for doc, key, (words, context, pieces) in zip(docs, names, templates.read(texts, starts), strict=True):
                         h = templates.windows(pieces)
                         at = np.arange(len(h))
                         if bits is not None:
-                            top = h >> np.uint64(61 - (len(bits) - 1).bit_length())
-                            at = np.flatnonzero(bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
+                            at = np.flatnonzero(_has(bits, h))
                         if not len(at):
                             continue
                         ids += [doc] * len(at)
@@ -322,9 +482,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     raw = benchmark.select(F.col("item_id"), _row_key("item_id").alias("key"), "text").filter("text is not null").dropDuplicates(["item_id", "key"])
     schema = "{0} {1}, row long, hash long, position long, windows long, slots array<string>"
     items = checkpointed(raw.mapInArrow(_windows(window, None, "item_id"), schema.format("item_id", dict(benchmark.dtypes)["item_id"])))
-    bits = _filter_bits(items)
+    bits, known = _filter_bits(items), _filter_bits(checkpointed(raw.select("text").mapInArrow(_known(window), "hash long")))
     rows = docs.select(F.col("doc_id"), _row_key("doc_id").alias("key"), "text").filter("text is not null")
-    found = rows.mapInArrow(_windows(window, bits, "doc_id"), schema.format("doc_id", dict(docs.dtypes)["doc_id"]))
+    found = rows.mapInArrow(_windows(window, bits, "doc_id", known), schema.format("doc_id", dict(docs.dtypes)["doc_id"]))
     theirs = items.select("item_id", F.col("row").alias("item"), "hash", F.col("position").alias("item_position"), F.col("windows").alias("item_windows"), F.col("slots").alias("item_slots"))
     # a short text is a single window that only equals another short text's
     keys = ["doc_id", "row", "item_id", "item"]
