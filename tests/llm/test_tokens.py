@@ -52,3 +52,17 @@ def test_encoder_equals_whole_texts():
 
 def test_empty_table(spark):
     assert T.tokenized(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_what_a_worker_remembers_is_bounded_in_bytes():
+    from tracemill.llm import decontaminate as D
+
+    encoder = T.Encoder(PATH)
+    texts = [f"{'ab' * 3000}{chr(97 + i)}{chr(97 + j)} word" for i in range(10) for j in range(20)]
+    assert encoder(texts) == encoder(texts)
+    assert sum(map(len, encoder.known)) < 10_000
+    templates = D.Templates()
+    for k in range(4):
+        templates.read([f"{'xy' * 500_000}{chr(97 + k)}{chr(97 + i)}" for i in range(4)])
+    assert sum(map(len, templates.words)) <= D.CHARACTERS_KEPT + 5_000_000
+    templates.words.reset()

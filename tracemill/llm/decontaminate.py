@@ -24,8 +24,8 @@ WINDOW = 5
 SHARE = 0.8
 #: The filters of benchmark windows and of pieces that go to every task have about 16 bits for each, 2**20 at least and 2**28 (32 MB) at most.
 LEAST_BITS, MOST_BITS = 20, 28
-#: Distinct words that a worker remembers before it starts anew.
-WORDS_KEPT = 200_000
+#: Distinct words, and characters in them, that a worker remembers before it starts anew.
+WORDS_KEPT, CHARACTERS_KEPT = 100_000, 4_000_000
 
 # Units of measure and currency signs, as they are written after or before numbers.
 UNITS = frozenset("""
@@ -83,11 +83,13 @@ class Words(dict):
         self.n_others = 0
         self.new: list[tuple] = []
         self.new_others: list[int] = []
+        self.characters = 0
         self[_LINE] = 0
         self.new.append((0, 0, 0, 0, 1, 0, 0))
 
     def __missing__(self, word: str) -> int:
         number = len(self)
+        self.characters += len(word)
         core = word.rstrip(".,;:!?")
         if core.isalpha() and (lower := core.lower()) not in UNITS:
             # most words: one piece of letters, as `canonical` would find it
@@ -146,7 +148,7 @@ class Templates:
     def read(self, texts: list[str | None], starts: bool = True) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
         """For each text its words, their contexts, and the hashes of its pieces. `starts`: whether it begins a sentence."""
         split = [(t or "").replace("\n", f" {_LINE} ").split() for t in texts]
-        if len(self.words) > WORDS_KEPT:
+        if len(self.words) > WORDS_KEPT or self.words.characters > CHARACTERS_KEPT:
             self.words.reset()
         get = self.words.__getitem__
         numbers = [np.fromiter(map(get, w), np.int64, len(w)) for w in split]

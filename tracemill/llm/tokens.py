@@ -36,8 +36,9 @@ HEADER = struct.Struct("<8s8Q")
 SAMPLE = 256
 #: An image is closed when it holds as many ids.
 IMAGE_IDS = 1 << 21
-#: Distinct pieces of words whose ids a worker remembers before it starts anew.
-PIECES_KEPT = 1_000_000
+#: Distinct pieces of words whose ids a worker remembers before it starts anew; longer ones than PIECE_BYTES are not remembered.
+#: An executor has more workers than cores for a while, as those of an earlier step live on.
+PIECES_KEPT, PIECE_BYTES = 400_000, 64
 
 # The normaliser and pre-tokeniser, as in tokenizer files, of the kind that is encoded by piece.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -156,7 +157,11 @@ class Encoder:
         self.known.update(zip(order, self._encoded(self.bare, [p.decode("latin-1") for p in order]), strict=True))
         whole = iter(self._encoded(self.tokenizer, [t for t, p in zip(texts, found, strict=True) if p is None]))
         get = self.known.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in found]
+        out = [next(whole) if p is None else b"".join(map(get, p)) for p in found]
+        for p in order:
+            if len(p) > PIECE_BYTES:
+                del self.known[p]
+        return out
 
     @staticmethod
     def _pieces(text: str) -> list[bytes] | None:
