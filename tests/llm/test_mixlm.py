@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracemill.llm import mixlm as M
@@ -219,3 +220,23 @@ def test_nothing_to_learn_from(spark):
     rows = M.score(docs, F.lit(False)).collect()
     assert [(r.n_known, r.train_tokens) for r in rows] == [(0, 0)] * 2 and all(r.score < 0 for r in rows)
     assert M.score(docs.limit(0)).collect() == []
+
+
+def test_every_context_is_counted():
+    t = M.Texts.of(CODE, [(b"a", b"b", b"q%d" % (i % 9), b"a")[: i % 5] for i in range(60)])
+    *_, counts, at, back = M.events_of(t, CODE, np.ones(60, bool), 1)
+    assert at.tolist() == list(range(len(t.leaves)))
+    assert counts.sum() == len(back) == len(t.leaves)
+
+
+def test_words_are_those_of_plain_python():
+    texts = [None, "", " ", "\t a  B\x0bÉ é\u2003z \x1cq\x85 ", "x", "End\n", *("%d b %d" % (i, i % 3) for i in range(40))]
+    array = pa.array(texts)
+    for low, n in ((0, 46), (1, 5), (3, 30), (4, 0)):  # slices too
+        w = M.Words.of(array.slice(low, n))
+        found = np.split(np.array([*w.distinct, None], object)[w.numbers], np.cumsum(w.sizes))[:-1]
+        assert [list(x) for x in found] == [tokens(x)[:-1] for x in texts[low : low + n]]
+        plain, read = M.Texts.of(CODE, [tokens(x)[:-1] for x in texts[low : low + n]]), M.Texts.read(CODE, w)
+        assert (plain.leaves.tolist(), plain.spelt, plain.lengths.tolist()) == (read.leaves.tolist(), read.spelt, read.lengths.tolist())
+        parts = [part for _, part in read.cut(len(CODE.index), 4)]
+        assert [x for p in parts for x in p.spelt] == read.spelt and np.concatenate([p.leaves for p in parts] or [read.leaves]).tolist() == read.leaves.tolist()
