@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, unused
+from .common import checkpointed, small_batches, unused
 
 WINDOW = 5
 SHARE = 0.8
@@ -481,6 +481,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     match documents that consist of that template alone. Very long texts are read whole; a window that repeats in a
     text counts once for each place of an item and way to fill its slots. Repeated documents give one row; repeated items do not count
     twice; two texts under one id are two rows; empty tables give no rows; other columns are ignored."""
+    small_batches(docs.sparkSession)
     raw = benchmark.select(F.col("item_id"), _row_key("item_id").alias("key"), "text").filter("text is not null").dropDuplicates(["item_id", "key"])
     schema = "{0} {1}, row long, hash long, position long, windows long, slots array<string>"
     items = checkpointed(raw.mapInArrow(_windows(window, None, "item_id"), schema.format("item_id", dict(benchmark.dtypes)["item_id"])))

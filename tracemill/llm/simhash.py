@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, unused
+from .common import checkpointed, small_batches, unused
 from .components import connected_components
 
 SHINGLE = 4
@@ -56,6 +56,7 @@ def _signed(x: int) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str, name: str, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
     """The columns `keep` and the fingerprint of `text` as a long called `name`."""
+    small_batches(docs.sparkSession)
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0).cast("long").alias(name)).schema
     raw = f"{name}_text"
 
