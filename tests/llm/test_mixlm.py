@@ -240,3 +240,27 @@ def test_words_are_those_of_plain_python():
         assert (plain.leaves.tolist(), plain.spelt, plain.lengths.tolist()) == (read.leaves.tolist(), read.spelt, read.lengths.tolist())
         parts = [part for _, part in read.cut(len(CODE.index), 4)]
         assert [x for p in parts for x in p.spelt] == read.spelt and np.concatenate([p.leaves for p in parts] or [read.leaves]).tolist() == read.leaves.tolist()
+
+
+def test_decisions_of_a_token_lie_in_few_lines_of_slots():
+    words = [b"w%d" % i for i in range(600)]
+    code = M.Code.of([(b"", 9), *((w, 10) for w in words)], 20, np.zeros(257, np.int64))
+    t = M.Texts.of(code, [words])
+    c = M.decisions(code, t, np.zeros(601, np.uint8))
+    assert set(c.kinds.tolist()) == {M.TREE}
+    at = 0
+    for leaf in t.leaves:
+        cell = code.cell[leaf]
+        size = int(code.offsets[cell + 1] - code.offsets[cell])
+        for slots in c.slots[:, at : at + size]:
+            assert len(np.unique(slots)) == size > 6 and len(np.unique(slots >> 3)) <= -(-size // 3)
+        at += size
+    assert at == len(c.bits)
+
+
+def test_tokens_are_counted_across_sums_within_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "COUNTED", 50)
+    monkeypatch.setattr(M, "READ", 3)
+    texts = [t for _, t in corpus()]
+    found = M.count_tokens(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()
+    assert {bytes(r.token): r.n for r in found} == Counter(x for t in texts for x in tokens(t)) and len(found) > 200
