@@ -264,3 +264,15 @@ def test_tokens_are_counted_across_sums_within_tasks(spark, monkeypatch):
     texts = [t for _, t in corpus()]
     found = M.count_tokens(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).collect()
     assert {bytes(r.token): r.n for r in found} == Counter(x for t in texts for x in tokens(t)) and len(found) > 200
+
+
+def test_leaves_are_found_by_hash_and_compared(monkeypatch):
+    head = [b"", b"a", b"ab", b"ba", b"\xff\x00", b"aa" * 500]
+    code = M.Code.of([(w, 3) for w in head], 3, np.zeros(257, np.int64))
+    words = [b"zz", *head[::-1], b"b", b"\x00", b"aa"]
+    for array in (pa.array(words, pa.large_binary()), pa.array([b"first", *words], pa.large_binary()).slice(1)):
+        assert code.leaves_of(array).tolist() == [code.index.get(w, 6) for w in words]
+    assert code.leaves_of(pa.array([], pa.large_binary())).tolist() == []
+    monkeypatch.setattr(M, "_hashes", lambda x: np.zeros(len(x), np.uint64))  # all collide
+    other = M.Code.of([(w, 3) for w in head], 3, np.zeros(257, np.int64))
+    assert other.leaves_of(pa.array(words, pa.large_binary())).tolist() == [code.index.get(w, 6) for w in words]
